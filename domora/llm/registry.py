@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from domora.llm import bpe, language, packing, quality, topk, urls
+from domora.llm import bpe, jaccard, language, packing, quality, topk, urls
 
 QUERIES = {
     "op1_repetition": quality.op1_repetition,
     "op2_language_mixture": language.op2_language,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_bpe_tree": bpe.op4_bpe_tree,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pivot_topk": topk.op7_pivot_topk,
     "op10_url_cascade": urls.op10_url_cascade,
 }
-ORACLE_SQL = {"op1_repetition": quality.oracle(), "op7_pivot_topk": topk.ORACLE, "op10_url_cascade": urls.oracle()}
+ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op10_url_cascade": urls.oracle()}
