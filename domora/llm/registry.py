@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domora.llm import bpe, jaccard, language, packing, quality, topk, urls
+from domora.llm import bpe, jaccard, language, packing, quality, suffixes, topk, urls
 
 QUERIES = {
     "op1_repetition": quality.op1_repetition,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe_tree": bpe.op4_bpe_tree,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pivot_topk": topk.op7_pivot_topk,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op10_url_cascade": urls.op10_url_cascade,
 }
-ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op10_url_cascade": urls.oracle()}
+ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle()}
