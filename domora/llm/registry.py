@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domora.llm import bpe, jaccard, language, packing, quality, suffixes, topk, urls
+from domora.llm import bpe, jaccard, language, packing, quality, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_repetition": quality.op1_repetition,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pivot_topk": topk.op7_pivot_topk,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_cascade": urls.op10_url_cascade,
 }
 ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle()}
