@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from domora.llm import bpe, jaccard, language, packing, quality, suffixes, topk, toxicity, urls
+from domora.llm import bpe, jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_repetition": quality.op1_repetition,
     "op2_language_mixture": language.op2_language,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_bpe_tree": bpe.op4_bpe_tree,
+    "op5_context_mixing": mixing.op5_context_mixing,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pivot_topk": topk.op7_pivot_topk,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
