@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from domora.llm.components import components
 from domora.llm.text import LOWER, blocks, mix, prefix, ranges, signed, utf8, windows, words
+from domora.llm.suffixes import keyed
 from domora.session import materialise, table
 
 #: Sets in a block of a tile, 64-bit words of a bitmap, small components handled by one call.
@@ -127,15 +128,15 @@ def _part_keys(value: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Rule
 
 
 def digests(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, h for every row."""
+    """key, doc_id, n_shingles, h for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for block in blocks(batches):
             value, rows, n = shingles(block.column("text"), rule.n)
-            out = [block.column("doc_id"), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(signed(_digest(value, rows, n)))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "h"])
+            out = [block.column("key"), block.column("doc_id"), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(signed(_digest(value, rows, n)))]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "doc_id", "n_shingles", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h long")
+    return docs.mapInArrow(run, "key long, doc_id long, n_shingles long, h long")
 
 
 def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
@@ -149,7 +150,7 @@ def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
             h = signed(_digest(value, rows, n))
             first = np.zeros(n, bool)
             first[np.unique(h, return_index=True)[1]] = True
-            for i, (x, doc) in enumerate(zip(h.tolist(), block.column("doc_id").to_pylist(), strict=True)):
+            for i, (x, doc) in enumerate(zip(h.tolist(), block.column("key").to_pylist(), strict=True)):
                 if x in held and held[x] != doc:
                     first[i] = False
             mine = first[rows]
@@ -231,17 +232,19 @@ def _tile(rule: Rule):
     return run
 
 
-def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked directly).
+def near_duplicates(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataFrame:
+    """One row per document: its group, and the extra columns of docs.
 
-    Null, empty and wordless texts have no shingles and are linked with nothing; texts of fewer than n words
-    are one shingle. Repeated rows are documents each, linked if they have words; a null doc_id keeps its row and
-    is never the smallest. Only doc_id and text are read.
+    doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked directly),
+    stays (the first document of its group). Null, empty and wordless texts have no shingles, are linked with
+    nothing and stay; texts of fewer than n words are one shingle. Repeated rows are documents each, linked if
+    they have words; a null doc_id keeps its row and is the smallest only where all of a group are null.
+    Only doc_id, text and extra are read; extra must have other names than the results.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = materialise(digests(docs, rule))
-    classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    heavy = {r["h"]: r["doc_id"] for r in classes.where("copies > 1 and doc_id is not null").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
+    docs = keyed(docs, extra)
+    known = materialise(digests(docs.select("key", "doc_id", "text"), rule))
+    classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
+    heavy = {r["h"]: r["key"] for r in classes.where("copies > 1").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
     least = F.min("h").over(Window.partitionBy("key"))
     ties = candidates(docs, rule, heavy).withColumn("b", least).where("h <> b").select(F.col("h").alias("a"), "b").distinct()
     clusters = components(ties).withColumnRenamed("node", "h").withColumnRenamed("root", "cluster")
@@ -265,9 +268,8 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
             flat = np.concatenate([*own, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["h", "shingles"])
 
-    # the text of one document of each class in question; h tells apart rows that share a doc_id
-    wanted = members.select(F.col("doc_id").alias("one")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["one"]), "left_semi").mapInArrow(sets, "h long, shingles array<long>")
+    # the text of one document of each class in question
+    texts = docs.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     texts = texts.groupBy("h").agg(F.any_value("shingles").alias("shingles"))
     placed = members.select("h", "cluster", "block", "copies").join(texts, "h").join(tiles, ["cluster", "block"])
     found = materialise(placed.groupBy("call", "i", "j").applyInPandas(_tile(rule), "a long, b long, links long"))
@@ -276,14 +278,16 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     about = classes.select("h", "copies").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").join(links.withColumnRenamed("a", "h"), "h", "left")
     about = about.select("h", F.coalesce("root", "h").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     labelled = known.where("n_shingles > 0").join(about, "h")
-    first = classes.select("h", "doc_id").join(about, "h").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = labelled.join(first, "root").select("doc_id", "n_shingles", "component_id", "n_links")
-    none = known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(none)
+    first = classes.select("h", "doc_id", "key").join(about, "h").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("least"))
+    names = ["key", "doc_id", "n_shingles", "component_id", "n_links", "stays"]
+    full = labelled.join(first, "root").withColumn("stays", F.col("key") == F.col("least")).select(*names)
+    none = known.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    found = full.unionByName(none)
+    return found.join(docs.select("key", *extra), "key").drop("key") if extra else found.drop("key")
 
 
 def op6_jaccard_join(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), Rule(3, 90))
+    return near_duplicates(table(spark, sf_dir, "documents"), Rule(3, 90)).drop("stays")
 
 
 def oracle(rule: Rule = Rule(3, 90)) -> str:

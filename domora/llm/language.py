@@ -178,6 +178,23 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
+#: Least share of the predicted language that a filter keeps.
+MIN_SHARE = 0.5
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs, whole, whose language is known and has at least that share; undefined texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        held = shared.value
+        for block in blocks(batches):
+            share, letters = mixtures(held, block.column("text"))
+            yield block.filter(pa.array(letters & bool(held.langs) & (share.max(axis=1) >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(mod: int, rest: int):
     """crc32 of the doc_id as text, modulo mod, is rest; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))

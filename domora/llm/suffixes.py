@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,17 +116,26 @@ def _block_rows(block: pa.RecordBatch, depth: int, hot: np.ndarray) -> tuple[np.
     return cols[0], cols[1], key, pos, np.concatenate([x[4] for x in out])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text: the order of documents as a unique number, doc_id itself where that is one.
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Null doc_ids come first; rows that share one come in the order of their texts.
+
+def keyed(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """key, doc_id, text and the extra columns: key is the order of documents as a unique number.
+
+    It is doc_id itself where that is one. Null doc_ids come first; rows that share one come in the order of
+    their texts. Null texts read as empty.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if not by_id.where("n > 1 or doc_id is null").limit(1).count():
-        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text", *extra)
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", *extra))
 
 
 def hot_anchors(docs: DataFrame, depth: int) -> np.ndarray:
@@ -238,14 +248,14 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return local.unionByName(equal).unionByName(single)
 
 
-def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, text, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans for every row.
+def without_repeats(docs: DataFrame, depth: int = DEPTH, extra: list[str] = ()) -> DataFrame:
+    """doc_id, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans and the extra columns of every row.
 
     A byte goes if a depth-byte string that also starts earlier covers it. Null texts read as empty and give
     an empty `kept`; null doc_ids count as the smallest, rows that share one as documents in the order of
-    their texts. Other columns are not read.
+    their texts. Other columns are not read; extra ones must have other names than the results.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, extra)
     spans = repeats(docs, depth).groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
     def run(batches):
@@ -269,11 +279,30 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             ends = offsets - before[offsets]
             body = pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(kept.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), body, pa.array(np.diff(offsets)), pa.array(np.diff(before[offsets]).astype(np.int64)), pa.array(np.diff(opened[offsets]).astype(np.int64))],
-                names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
+                [
+                    block.column("doc_id"),
+                    body,
+                    pa.array(np.diff(offsets)),
+                    pa.array(np.diff(before[offsets]).astype(np.int64)),
+                    pa.array(np.diff(opened[offsets]).astype(np.int64)),
+                    *(block.column(c) for c in extra),
+                ],
+                names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *extra],
             )
 
-    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = docs.join(spans, "key", "left").select("doc_id", "text", "spans", *extra)
+    schema = ", ".join(["doc_id long, kept binary, n_bytes long, n_removed long, n_spans long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema)] if extra else ["doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"])
+    return joined.mapInArrow(run, schema)
+
+
+def whole_characters(kept: str):
+    """The column of kept bytes as text, without the bytes of characters that a cut divided."""
+
+    @F.pandas_udf("string")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return decode(F.col(kept))
 
 
 def op8_suffix_dedup(spark, sf_dir):

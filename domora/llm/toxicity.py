@@ -67,10 +67,10 @@ def hits(column: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, total
 
 
-def features(found: np.ndarray, total: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def features(found: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Votes of the lexicon and of the patterns: any hit, three different ones, a hit in 200 words, a hit in 50."""
     any_ = (found > 0).astype(np.float32)
-    times, kinds = (found * whole).sum(1), any_.sum(1)
+    times, kinds = found.sum(1), any_.sum(1)
     rate = times / np.maximum(total, 1)
     patterns = np.stack([kinds > 0, kinds > 2, rate > 1 / 200, rate > 1 / 50], axis=1).astype(np.float32)
     return np.concatenate([any_, patterns], axis=1)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     got = rows.mapInArrow(voted, "toxic int, total long, found binary").toPandas()  # SAMPLE rows of VOTERS bytes
     found = np.stack([np.frombuffer(f, np.uint8) for f in got["found"]]).astype(np.int32).reshape(len(got), len(lexicon))
     gold_label = (got["toxic"].to_numpy() > 0).astype(float)
-    x = features(found, got["total"].to_numpy(), np.ones(len(lexicon)))
+    x = features(found, got["total"].to_numpy())
     q, _, _ = label_model(x, gold_label * 0.96 + 0.02)
     weights, bias = logistic(x, q)
     # the share of positives follows the labels: shift the bias to the cut with the fewest errors
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         held = shared.value
         for block in blocks(batches):
             found, total = hits(block.column("text"), held.lexicon)
-            x = features(found, total, np.ones(len(held.lexicon)))
+            x = features(found, total)
             z = x @ held.weights + held.bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
@@ -203,6 +203,19 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, n_votes long")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of docs, whole, that are scored below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        held = shared.value
+        for block in blocks(batches):
+            found, total = hits(block.column("text"), held.lexicon)
+            yield block.filter(pa.array(features(found, total) @ held.weights + held.bias < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out(5, 0)))
