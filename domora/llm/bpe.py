@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,7 +30,7 @@ LEAF = 512
 #: First characters of a window on either side of a cut; it doubles until both sides agree.
 WINDOW = 32
 #: Distinct pieces that a worker remembers.
-MEMO = 300_000
+MEMO = 400_000
 #: Bytes of a text above which its parts are encoded by different tasks.
 SPLIT_BYTES = 1 << 22
 
@@ -51,7 +52,8 @@ class TreeEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        #: ids of pieces as little-endian unsigned 32-bit integers
+        self.memo: dict[bytes, bytes] = {}
 
     # -- one unbroken piece ------------------------------------------------------------------
 
@@ -112,17 +114,17 @@ class TreeEncoder:
             new = list(pieces)
         short = [p for p in new if len(p) <= LONG_PIECE]
         for p, e in zip(short, self.library.encode_batch_fast([p.decode() for p in short], add_special_tokens=False), strict=True):
-            self.memo[p] = tuple(e.ids)
+            self.memo[p] = array("I", e.ids).tobytes()
         for p in new:
             if len(p) > LONG_PIECE:
-                self.memo[p] = tuple(self.piece(p.decode()))
+                self.memo[p] = array("I", self.piece(p.decode())).tobytes()
 
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts whose tokens never cross ASCII white space."""
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of texts, whose tokens never cross ASCII white space."""
         cut = [t.split() for t in texts]
         self.learn(set(chain.from_iterable(cut)))
         get = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, c)), np.uint32) for c in cut]
+        return [b"".join(map(get, c)) for c in cut]
 
 
 @lru_cache(maxsize=2)
@@ -156,7 +158,7 @@ def _split(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             raw, offsets = utf8(block.column("text"))
             data = raw.tobytes()
             ids = enc.batch([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return rows.where(~long).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), rows.where(long)
 
@@ -179,7 +181,7 @@ def _parts(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = [enc.batch([p])[0].tobytes() for p in batch.column("part").to_pylist()]
+            ids = [enc.batch([p])[0] for p in batch.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("k"), pa.array(ids, pa.binary())], names=["row", "doc_id", "k", "ids"])
 
     parts = rows.mapInArrow(cut, "row long, doc_id long, k int, part binary").repartition("row", "k").mapInArrow(run, "row long, doc_id long, k int, ids binary")

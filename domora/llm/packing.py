@@ -11,14 +11,16 @@ a very common length is no hot key) and a rank decides the place.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domora.llm.bpe import TreeEncoder, public_path
+from domora.llm.bpe import MEMO, TreeEncoder, public_path
 from domora.llm.text import blocks, utf8
 from domora.session import materialise, table
 
@@ -34,20 +36,39 @@ SHARD = 200_000
 class ByteEncoder(TreeEncoder):
     """As TreeEncoder for byte-level BPE, where a space belongs to the word after it."""
 
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+    def __init__(self, path: str):
+        super().__init__(path)
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # the file spells bytes as printable characters: those that are printable stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        special = {s: self.library.token_to_id(s) for s in self.special}
+        ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        self.learn({p for c in cut for p in c})
+        self.learn(set(chain.from_iterable(cut)))
         get = self.memo.__getitem__
-        return [np.fromiter((i for p in c for i in get(p)), np.uint32) if len(c) < 8 else np.array([i for p in c for i in get(p)], np.uint32) for c in cut]
+        return [b"".join(map(get, c)) for c in cut]
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Unbroken pieces of any length go to the library whole; its cost is in proportion here."""
-        new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > 200_000:
+        """Encode the pieces that the memo lacks; any piece is cheap here, as its cost is in proportion."""
+        new = pieces.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
             self.memo = {}
-            new = list(pieces)
-        for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.memo[p] = tuple(e.ids)
+            new = pieces
+        encode, held = self.fast.encode_ordinary, self.memo
+        for p in new:
+            held[p] = array("I", encode(p.decode())).tobytes()
+        for p in [p for p in new if any(s.encode() in p for s in self.special)]:
+            held[p] = array("I", self.library.encode(p.decode(), add_special_tokens=False).ids).tobytes()
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
@@ -86,10 +107,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             rows: list[tuple] = []
             ids = enc.batch([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             for doc, own in zip(block.column("doc_id").to_pylist(), ids, strict=True):
-                own = np.append(own, np.uint32(END_ID)).astype("<u4")
-                first = len(own) % capacity or capacity
-                edges = [0, *range(first, len(own) + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(own[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                own += END_ID.to_bytes(4, "little")
+                first = len(own) // 4 % capacity or capacity
+                edges = [0, *range(first, len(own) // 4 + 1, capacity)]
+                rows += [(doc, k, a, b - a, zlib.crc32(own[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
