@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from domora.llm import jaccard, language, packing, suffixes, toxicity
 from domora.llm.bpe import public_path
-from domora.session import materialise, table
+from domora.session import materialise, ship, table
 
 #: Near duplicates: five words a shingle, similarity of 0.8 or more.
 NEAR = jaccard.Rule(5, 80)
@@ -20,16 +20,19 @@ NEAR = jaccard.Rule(5, 80)
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a letter whose main language has half of the words or more."""
+    ship(spark)
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are predicted to be toxic; the model learns from the labelled ones in docs."""
+    ship(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near duplicates."""
+    ship(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = {c: f"in_{i}" for i, c in enumerate(rest)}
     whole = docs.select("doc_id", "text", F.col("text").alias("in_text"), *(F.col(c).alias(n) for c, n in inner.items()))
@@ -39,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the 100-byte repeats out of the texts; a character that a cut divides goes whole."""
+    ship(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = {c: f"in_{i}" for i, c in enumerate(rest)}
     found = suffixes.without_repeats(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in inner.items())), extra=list(inner.values()))
@@ -52,6 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token pieces of the documents into sequences of 2048."""
+    ship(spark)
     return packing.pack(packing.token_pieces(docs, public_path("byte_bpe_50k.json")))
 
 

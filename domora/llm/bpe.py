@@ -30,7 +30,7 @@ LEAF = 512
 #: First characters of a window on either side of a cut; it doubles until both sides agree.
 WINDOW = 32
 #: Distinct pieces that a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 #: Bytes of a text above which its parts are encoded by different tasks.
 SPLIT_BYTES = 1 << 22
 
@@ -159,6 +159,7 @@ def _split(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             data = raw.tobytes()
             ids = enc.batch([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        enc.memo = {}  # the worker lives on for other tasks
 
     return rows.where(~long).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), rows.where(long)
 

@@ -31,7 +31,7 @@ DEPTH = 100
 ANCHOR = 28
 #: Anchors that are taken apart by windows at once, and how often one must stand in a block to be proposed.
 HOT = 4096
-HOT_IN_BLOCK = 4
+HOT_IN_BLOCK = 3
 _PLACE = np.uint64((1 << 31) - 1)
 
 

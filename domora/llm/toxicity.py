@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     count = gold.count()
     if count > SAMPLE:
         gold = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(SAMPLE / count * (1 << 20)))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(gold, "doc_id").select("toxic", "text")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(gold), "doc_id").select("toxic", "text")  # about SAMPLE ids and labels at most
 
     def counted(batches):
         for block in blocks(batches):
