@@ -28,7 +28,9 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was started elsewhere."""
+    """Let Python workers import this package when the driver was started elsewhere, and keep Arrow batches of long texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
