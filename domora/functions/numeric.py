@@ -24,3 +24,8 @@ def bins(c: Column, edges: list[float], labels: list[str]) -> Column:
         hit = (c > lo) & (c <= hi)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out
+
+
+def round_to(c: Column, digits: int) -> Column:
+    """Rounded half up; values a rounding error below a half count as halves, so that engines agree."""
+    return F.floor(c * 10**digits + 0.500000001) / 10**digits

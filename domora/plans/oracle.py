@@ -138,8 +138,8 @@ met as materialized (select q.ingest_key as query_id, r.ingest_key as ref_id, r.
 sizes as (select query_id, count(*) filter (near and local) as n1, count(*) filter (near) as n2 from met group by query_id),
 tiered as (select m.*, case when n1 >= 4 then 'local' when n2 >= 4 then 'type' else 'date' end as tier from met m join sizes using (query_id) where (n1 >= 4 and near and local) or (n1 < 4 and n2 >= 4 and near) or n2 < 4),
 ranked as (select *, row_number() over (partition by query_id order by distance, ref_id) as rank from tiered),
-found as (select query_id, rank::int as rank, ref_id, tier, round(distance, 6) as distance, round(1 / (1 + distance), 2) as similarity, price, round(price / area, 2) as unit_price from ranked where rank <= 4),
-summary as (select query_id, count(*) as n, round(median(price), 1) as median_price, round(median(unit_price), 1) as median_unit_price from found group by query_id)"""
+found as (select query_id, rank::int as rank, ref_id, tier, round(distance, 6) as distance, round(1 / (1 + distance), 2) as similarity, price, floor(price / area * 100 + 0.500000001) / 100 as unit_price from ranked where rank <= 4),
+summary as (select query_id, count(*) as n, floor(median(price) * 10 + 0.500000001) / 10 as median_price, floor(median(unit_price) * 10 + 0.500000001) / 10 as median_unit_price from found group by query_id)"""
 
 
 def _errors(m: str) -> str:
@@ -195,7 +195,7 @@ SQL = {
     "identity_pairs": f"{IDENTITY} select a, b from pairs where level = 'strong'",
     "identity_groups": f"{IDENTITY} select ingest_key, group_key, group_size, case when group_size > 1 then 'strong' when possible_duplicate then 'weak' else 'singleton' end as identity_confidence, possible_duplicate from groups",
     "identity_audit": f"{IDENTITY}, s as (select group_key, count(*) as n from groups group by 1) select (select count(*) from s) as groups, (select count(*) from s where n > 1) as multi_listing_groups, (select max(n) from s) as largest_group, (select count(*) from pairs where level = 'strong') as strong_pairs, (select count(*) from keys) as key_links, (select count(*) from pairs where level = 'medium') as medium_pairs, (select count(*) from pairs where level = 'weak') as weak_pairs",
-    "event_dedup": f"{IDENTITY}, u as (select distinct on (c) ingest_key, c from (select ingest_key, row(valid.* exclude (ingest_key, base_key, copy)) as c from valid) order by c, ingest_key), "
+    "event_dedup": f"{IDENTITY}, u as (select min(ingest_key) as ingest_key from valid group by property_type, location, price, area, bedrooms, bathrooms, floors, width, length, alley_width, direction, position, road_type, latitude, longitude, listing_date, observed_at, date_source, source, listing_id, title, description, supplied_furniture), "
     "e as (select v.*, case when trim(listing_id) <> '' then source || ':' || trim(listing_id) else group_key || ':' || coalesce(strftime(listing_date, '%Y-%m-%d %H:%M:%S'), 'NaT') || ':' || round(price, 2)::decimal(20, 2)::varchar end as event from valid v join u using (ingest_key) join groups g on g.ingest_key = v.ingest_key) "
     "select ingest_key, property_type, listing_date, price from (select *, row_number() over (partition by event order by ingest_key) as nth from e) where nth = 1",
     "temporal_split": f"{IDENTITY}, dated as (select g.group_key, v.listing_date from valid v join groups g using (ingest_key)), {_split('dated', 'group_key', 'listing_date')} select g as group_key, latest, split from parts",
@@ -218,6 +218,6 @@ SQL = {
     "request_validation": f"{BASE} select array_to_string(list_filter([{', '.join(_REQUEST)}], lambda x: x is not null), ',') as reasons, count(*) as n from tagged group by 1",
     "prediction_warnings": f"{BASE}, {_INTERVAL} select ingest_key, array_to_string(list_filter([{_WARN}], lambda x: x is not null), '; ') as warnings from scored",
     "missing_fields": f"{BASE} select array_to_string(list_filter([{_FIELDS}], lambda x: x is not null), ',') as fields, count(*) as n from valid group by 1",
-    "export_reference": f"{BASE} select ingest_key as property_group_id, property_type, location_area, area, price as price_million, round(price / area, 1) as unit_price_million_m2, latitude, longitude, round({_CBD}, 2) as distance_to_cbd_km, bedrooms::int as bedrooms, bathrooms::int as bathrooms, floors::int as floors, strftime(listing_date, '%Y-%m-%d') as listing_date, 0 as has_furniture, 0 as car_alley, {_days(repr('1997-01-01') + '::timestamp', 'date_trunc(' + repr('day') + ', listing_date)')} as market_age from valid",
+    "export_reference": f"{BASE} select ingest_key as property_group_id, property_type, location_area, area, price as price_million, floor(price / area * 10 + 0.500000001) / 10 as unit_price_million_m2, latitude, longitude, round({_CBD}, 2) as distance_to_cbd_km, bedrooms::int as bedrooms, bathrooms::int as bathrooms, floors::int as floors, strftime(listing_date, '%Y-%m-%d') as listing_date, 0 as has_furniture, 0 as car_alley, {_days(repr('1997-01-01') + '::timestamp', 'date_trunc(' + repr('day') + ', listing_date)')} as market_age from valid",
     "refit_rows": f"{BASE}, past as (select * from train union all select * from validation) select property_type, count(*) as n, round(sum(price), 2) as total_price from past group by 1",
 }

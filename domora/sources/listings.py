@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domora.functions.numeric import round_to
+
 
 REQUIRED = {"price", "area", "property_type", "location"}
 #: Original headings -> column names.
@@ -83,7 +85,7 @@ def reference_export(clean: DataFrame) -> DataFrame:
     flags = [(F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in has else F.lit(0)).alias(c) for c in ("has_furniture", "car_alley")]
     area, price = (F.when(F.col(c) > 0, F.col(c)) for c in ("area", "price"))
     return clean.select(
-        "property_group_id", "property_type", "location_area", area.alias("area"), price.alias("price_million"), F.round(F.try_divide(price, area), 1).alias("unit_price_million_m2"),
+        "property_group_id", "property_type", "location_area", area.alias("area"), price.alias("price_million"), round_to(F.try_divide(price, area), 1).alias("unit_price_million_m2"),
         "latitude", "longitude", (F.round("distance_to_cbd_km", 2) if "distance_to_cbd_km" in has else F.lit(None).cast("double")).alias("distance_to_cbd_km"),
         *whole, F.date_format("listing_date", "yyyy-MM-dd").alias("listing_date"), *flags,
     )
