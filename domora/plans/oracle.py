@@ -138,7 +138,7 @@ met as materialized (select q.ingest_key as query_id, r.ingest_key as ref_id, r.
 sizes as (select query_id, count(*) filter (near and local) as n1, count(*) filter (near) as n2 from met group by query_id),
 tiered as (select m.*, case when n1 >= 4 then 'local' when n2 >= 4 then 'type' else 'date' end as tier from met m join sizes using (query_id) where (n1 >= 4 and near and local) or (n1 < 4 and n2 >= 4 and near) or n2 < 4),
 ranked as (select *, row_number() over (partition by query_id order by distance, ref_id) as rank from tiered),
-found as (select query_id, rank::int as rank, ref_id, tier, round(distance, 6) as distance, round(1 / (1 + distance), 2) as similarity, price, floor(price / area * 100 + 0.500000001) / 100 as unit_price from ranked where rank <= 4),
+found as (select query_id, rank::int as rank, ref_id, tier, floor(distance * 1e6 + 0.5001) / 1e6 as distance, round(1 / (1 + distance), 2) as similarity, price, floor(price / area * 100 + 0.500000001) / 100 as unit_price from ranked where rank <= 4),
 summary as (select query_id, count(*) as n, floor(median(price) * 10 + 0.500000001) / 10 as median_price, floor(median(unit_price) * 10 + 0.500000001) / 10 as median_unit_price from found group by query_id)"""
 
 
