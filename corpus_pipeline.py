@@ -35,9 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = {c: f"in_{i}" for i, c in enumerate(rest)}
-    whole = docs.select("doc_id", "text", F.col("text").alias("in_text"), *(F.col(c).alias(n) for c, n in inner.items()))
-    kept = jaccard.near_duplicates(whole, NEAR, ["in_text", *inner.values()]).where("stays")
-    return kept.select("doc_id", F.col("in_text").alias("text"), *(F.col(n).alias(c) for c, n in inner.items())).select(*docs.columns)
+    kept = jaccard.keep_first(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in inner.items())), NEAR, list(inner.values()))
+    return kept.select("doc_id", "text", *(F.col(n).alias(c) for c, n in inner.items())).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ Sets are compared by 64-bit hashes of their n-grams.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -232,16 +233,68 @@ def _tile(rule: Rule):
     return run
 
 
-def near_duplicates(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataFrame:
-    """One row per document: its group, and the extra columns of docs.
+#: Bits of the filter that spares texts a shuffle; with many more keys it lets all pass, and the joins do the work.
+FILTER_BITS = 1 << 25
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(41))
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over a column key."""
+
+    def run(batches):
+        held = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for p in _places(batch.column("key").to_numpy(zero_copy_only=False)):
+                held[p] = True
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.select("key").mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def passing(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
+    """Rows whose key may be in the filter, or those whose key is not."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        held = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            one, two = _places(batch.column("key").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array((held[one] & held[two]) == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """One row per document: its group.
 
     doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked directly),
     stays (the first document of its group). Null, empty and wordless texts have no shingles, are linked with
     nothing and stay; texts of fewer than n words are one shingle. Repeated rows are documents each, linked if
     they have words; a null doc_id keeps its row and is the smallest only where all of a group are null.
-    Only doc_id, text and extra are read; extra must have other names than the results.
+    Only doc_id and text are read.
     """
+    return _groups(keyed(docs), rule).drop("key")
+
+
+def keep_first(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataFrame:
+    """doc_id, text and the extra columns of the first document of each group; the same documents stay as above."""
     docs = keyed(docs, extra)
+    gone = materialise(_groups(docs, rule).where("not stays").select("key"))
+    bits = key_filter(gone)
+    doubtful = passing(docs, bits, True).join(gone, "key", "left_anti")
+    return passing(docs, bits, False).unionByName(doubtful).drop("key")
+
+
+def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
+    """near_duplicates() of keyed documents, with their key."""
     known = materialise(digests(docs.select("key", "doc_id", "text"), rule))
     classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
     heavy = {r["h"]: r["key"] for r in classes.where("copies > 1").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
@@ -269,7 +322,8 @@ def near_duplicates(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["h", "shingles"])
 
     # the text of one document of each class in question
-    texts = docs.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
+    wanted = members.select("key").distinct()
+    texts = passing(docs.select("key", "text"), key_filter(wanted), True).join(wanted, "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     texts = texts.groupBy("h").agg(F.any_value("shingles").alias("shingles"))
     placed = members.select("h", "cluster", "block", "copies").join(texts, "h").join(tiles, ["cluster", "block"])
     found = materialise(placed.groupBy("call", "i", "j").applyInPandas(_tile(rule), "a long, b long, links long"))
@@ -282,8 +336,7 @@ def near_duplicates(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataF
     names = ["key", "doc_id", "n_shingles", "component_id", "n_links", "stays"]
     full = labelled.join(first, "root").withColumn("stays", F.col("key") == F.col("least")).select(*names)
     none = known.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
-    found = full.unionByName(none)
-    return found.join(docs.select("key", *extra), "key").drop("key") if extra else found.drop("key")
+    return full.unionByName(none)
 
 
 def op6_jaccard_join(spark, sf_dir):
