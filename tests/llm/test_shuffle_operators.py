@@ -149,6 +149,18 @@ def test_language_model(spark, corpus):
     assert mixing.language_model(docs.limit(0), language.F.lit(True)).count() == 0
 
 
+def test_language_model_reads_word_order(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(w for i in rng.integers(0, 8, 60) for w in (f"lead{i}", f"tail{i}")) for _ in range(60)]
+    swapped = " ".join(w for i in range(8) for w in (f"lead{i}", f"tail{(i + 3) % 8}"))
+    same = " ".join(w for i in range(8) for w in (f"lead{i}", f"tail{i}"))
+    rows = [*enumerate(texts), (100, same), (101, swapped)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mixing.language_model(docs, mixing.F.col("doc_id") < 100).where("doc_id >= 100").collect()}
+    assert abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-9  # the same words
+    assert got[100]["score"] > got[101]["score"] + 3  # in the order that was learned
+
+
 def test_coder_is_a_prefix_code():
     code = mixing.coder(np.arange(256) ** 2)
     assert abs(sum(2.0**-n for n in code.length) - 1) < 1e-9
