@@ -305,7 +305,9 @@ def contributions(spark, sf):
 def stream_dedup(spark, sf):
     rows = materialise(adapted_listings(spark, sf))
     stream = jobs.dedup_stream(spark, rows.schema, rows.inputFiles()[0].rsplit("/", 1)[0])
-    return jobs.run_to_table(stream.select("listing_event_id", "property_type"), f"events_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").groupBy("property_type").agg(F.count("*").alias("n"))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = jobs.run_to_files(stream.select("listing_event_id", "property_type"), f"{base}/out", f"{base}/log")
+    return events.groupBy("property_type").agg(F.count("*").alias("n"))
 
 
 def stream_scoring(spark, sf):

@@ -22,8 +22,14 @@ def dedup_stream(spark: SparkSession, schema: StructType, path: str, delay: str
     return keyed.withWatermark("listing_date", delay).dropDuplicatesWithinWatermark(["listing_event_id"])
 
 
+def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process what is there into Parquet files under out, written by the tasks, and read them."""
+    stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).start(out).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None):
-    """Process what is there into a memory table of that name, for tests and reports."""
+    """Process what is there into a memory table of that name, held by the driver; for tests."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()

@@ -153,3 +153,11 @@ def test_stream_dedup_equals_batch(spark):
     rows = clean.valid(listings.adapted_listings(spark, "/root/testdata/sf0.001")).where("listing_id is not null and listing_date is not null")
     want = rows.withColumn("e", F.concat_ws(":", "source", "listing_id")).groupBy("property_type").agg(F.count_distinct("e").alias("n"))
     assert got == {r["property_type"]: r["n"] for r in want.collect()}
+
+
+def test_stream_dedup_leaves_no_rows_on_the_driver(spark):
+    from domora.plans import catalog
+
+    found = catalog.stream_dedup(spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles())  # a memory table has no files
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("events_")]
