@@ -15,5 +15,6 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_cascade": urls.op10_url_cascade,
+    "op10_listed_names": urls.op10_listed_names,
 }
-ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle()}
+ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle(), "op10_listed_names": urls.oracle_by_name()}

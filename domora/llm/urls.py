@@ -29,6 +29,8 @@ RULES = [
 ]
 #: Hosts of the default block list; a subdomain of a listed host is listed too.
 LISTED_HOSTS = ["casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net"]
+#: Names of the block list by names: a host with one of them as a label, under any ending, is listed.
+LISTED_NAMES = [h.split(".", 1)[0] for h in LISTED_HOSTS]
 
 
 @dataclass(frozen=True)
@@ -171,11 +173,25 @@ def default_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def hosts_by_name(pages: DataFrame, names: list[str]) -> DataFrame:
+    """host: all hosts and parent domains of the pages that start with one of the names, whatever their ending."""
+    host, _ = parts(F.col("url").cast("string"))
+    labels = F.split("host", r"\.")
+    found = pages.select(F.explode(suffixes(host)).alias("host"))
+    return found.where(F.element_at(labels, 1).isin(names) & (F.size(labels) > 1)).distinct()
+
+
+def op10_listed_names(spark, sf_dir):
+    """op10_url_cascade with a list that is derived from all pages; the default list stays as its SQL has it."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, default_rules(spark)[0], hosts_by_name(pages, LISTED_NAMES))
+
+
 def op10_url_cascade(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"), *default_rules(spark))
 
 
-def oracle() -> str:
+def oracle(is_listed: str = "exists (select 1 from listed l where ('.' || u.host) like ('%.' || l.h))") -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     listed = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
     return f"""
@@ -185,7 +201,9 @@ u as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
   coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') as path from r),
 m as (select u.page_id, h || p as rule, v, row_number() over (partition by u.page_id order by length(h || p) desc) as nth
   from u join rules on ('.' || host) like ('%.' || h) and starts_with(path, p))
-select u.page_id, host, path, m.rule, coalesce(m.v, case when exists (select 1 from listed l where ('.' || u.host) like ('%.' || l.h)) then 'block' else 'allow' end) as verdict
+select u.page_id, host, path, m.rule, coalesce(m.v, case when {is_listed} then 'block' else 'allow' end) as verdict
 from u left join m on m.page_id = u.page_id and m.nth = 1"""
 
 
+def oracle_by_name() -> str:
+    return oracle(rf"regexp_matches('.' || u.host, '\.({'|'.join(LISTED_NAMES)})\.')")

@@ -210,6 +210,14 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), *urls.default_rules(spark)).count() == 0
 
 
+def test_listed_names_under_any_ending(spark):
+    urls_of = ["http://www.spam-farm.example.org/a", "http://casino-win.test/", "http://free-bets.example.com/x", "http://my-spam-farm.example.org/", "http://spam-farm/", None]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    rules = urls.default_rules(spark)[0].limit(0)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, urls.hosts_by_name(pages, urls.LISTED_NAMES)).collect()}
+    assert [got[i] for i in range(len(urls_of))] == ["block", "block", "block", "allow", "allow", "allow"]
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(urls, "BITS_PER_KEY", 2)  # many false positives, many levels
     universe = spark.range(3000).selectExpr("cast(id as string) as key")
