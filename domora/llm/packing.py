@@ -10,6 +10,7 @@ a very common length is no hot key) and a rank decides the place.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -26,15 +27,16 @@ from domora.session import materialise, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces above this share of the capacity are large.
-SMALL = CAPACITY // 8
 GROUPS = 160
 #: Pieces that a shard of one length gets on average, at most.
 SHARD = 200_000
+#: UTF-8 of a space and the start of white space of any kind (the multi-byte ones by all but their last byte).
+_SPACE_PAIRS = [b" " + c for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")]
+_SPACE_STARTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
 class ByteEncoder(TreeEncoder):
-    """As TreeEncoder for byte-level BPE, where a space belongs to the word after it."""
+    """As TreeEncoder for byte-level BPE, where a single space belongs to the word after it."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -72,19 +74,15 @@ class ByteEncoder(TreeEncoder):
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
-        """Pieces that start with a single space, where a token always starts too; runs of spaces stay whole."""
-        if b"  " not in text:
+        """Pieces that start with a space, where a token always starts too.
+
+        A token can hold a space inside only among other white space. So a space starts a token if white space
+        of any kind stands before it or after it, but not on both sides; a text's end counts as white space.
+        """
+        if not text.endswith(b" ") and not any(x in text for x in _SPACE_PAIRS):
             first, *rest = text.split(b" ")
             return ([first] if first else []) + [b" " + p for p in rest]
-        out, held = [], []
-        for p in text.split(b" "):
-            # an empty part is one more space: it stays with what stands on both sides
-            if held and p and held[-1]:
-                out.append(b" ".join(held) if not out else b" " + b" ".join(held))
-                held = []
-            held.append(p)
-        last = b" ".join(held)
-        return [x for x in [*out, last if not out else b" " + last] if x]
+        return [p.encode() for p in _SPACE_STARTS.split(text.decode()) if p]
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}

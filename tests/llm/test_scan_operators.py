@@ -140,6 +140,15 @@ def test_packing_pieces_and_places(spark, odd):
     assert packing.pack(packing.token_pieces(frame.limit(0), path)).count() == 0
 
 
+def test_byte_encoder_equals_library_on_white_space():
+    lib, enc = library("byte_bpe_50k.json"), packing.ByteEncoder(bpe.public_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(7)
+    signs = [*"  \t\n\v\f\r\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\u200b\x1c", " ", " ", " ", "a", "é", "日", "'s", "5", "%", "–", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(20000)] + ["Price: 5\xa0 \xa0 \xa0 EUR", "a \xa0 \xa0 b", "a\n \nb", "a\n "]
+    for text, got in zip(texts, enc.batch([t.encode() for t in texts])):
+        assert np.frombuffer(got, np.uint32).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check_places(rows, capacity):
     by = {}
     for s, o, n in rows:
