@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,13 +38,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), one of our own is set."""
+    """The cluster's checkpoint folder; a local session without one (tests) gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-domora-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -1,11 +1,17 @@
 """The listing engine on small frames."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from domora.functions import text
 from domora.functions.geo import haversine
 from domora.functions.numeric import bins, number
@@ -161,3 +167,18 @@ def test_stream_dedup_leaves_no_rows_on_the_driver(spark):
     found = catalog.stream_dedup(spark, "/root/testdata/sf0.001")
     assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles())  # a memory table has no files
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("events_")]
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """A copy of the repository without domora/llm, its tests and the pipeline's file, then with that file."""
+    root = Path(entry.__file__).parent
+    for name in ("domora", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    for _ in range(2):
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'segment_medians' in q and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
