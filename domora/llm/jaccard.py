@@ -6,10 +6,11 @@
    both. A set therefore gives one key for each part (band, part, hash of the part's elements); sets that share
    none are not linked. A frequent n-gram makes no hot key, as a key is the whole part. Where a part is empty
    the elements are dealt again with another seed, so that no link rests on empty parts.
-3. Sets that share a key are tied to its smallest set (a star, not all pairs); the components of these ties hold
-   every link. Each component, ordered by size, is cut into blocks; a tile is a pair of blocks whose sizes
-   allow links. In a tile the bit counts of hashed bitmaps bound the overlap from above, and pairs within the
-   bound are intersected exactly.
+3. Sets that share a key are tied to its smallest set (a star, not all pairs; tasks settle their own keys before the
+   shuffle, so that a key sends one row a task); the components of these ties hold every link. Each component is
+   dealt into blocks of a size band and a bounded number of elements; a tile is a pair of blocks whose sizes allow
+   links. In a tile the bit counts of hashed bitmaps bound the overlap from above, and the sorted arrays of the
+   pairs within the bound are intersected exactly.
 4. The links' components, with equal sets put back, are the groups.
 
 Sets are compared by 64-bit hashes of their n-grams.
@@ -17,7 +18,7 @@ Sets are compared by 64-bit hashes of their n-grams.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domora.llm.components import components
 from domora.llm.text import LOWER, blocks, mix, prefix, ranges, signed, utf8, windows, words
-from domora.llm.suffixes import keyed
+from domora.llm.suffixes import keyed, shuffles_removed
+from domora.operators.graph import components
 from domora.session import materialise, table
 
-#: Sets in a block of a tile, 64-bit words of a bitmap, small components handled by one call.
-BLOCK = 256
+#: Elements of the sets in a block of a tile (about 4 MB); components within it are one block, and some share a call.
+BLOCK = 1 << 19
+#: Width of the size bands of the blocks of larger components; 64-bit words of a bitmap.
+STEP = 1.0625
 BITMAP = 16
-TOGETHER = 64
+#: Keys that a task holds before it settles and sends them.
+HELD_KEYS = 1 << 21
 #: Classes of equal sets that are known to the candidate scan, which passes over their copies.
 HEAVY = 4096
 #: Up to so many parts an empty one is dealt with by another seed; above, the chance that all equal parts are empty is below 1e-10 even for a pair at the threshold.
@@ -146,6 +150,7 @@ def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
 
     def run(batches):
         held = shared.value
+        keys, owners, size = [], [], 0
         for block in blocks(batches):
             value, rows, n = shingles(block.column("text"), rule.n)
             h = signed(_digest(value, rows, n))
@@ -155,14 +160,33 @@ def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
                 if x in held and held[x] != doc:
                     first[i] = False
             mine = first[rows]
-            size = np.bincount(rows[mine], minlength=n)
-            keys, owner = _part_keys(value[mine], rows[mine], size, rule)
-            for a in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 18)])), pa.array(h[owner[a : a + (1 << 18)]])], names=["key", "h"])
+            found, owner = _part_keys(value[mine], rows[mine], np.bincount(rows[mine], minlength=n), rule)
+            keys.append(found)
+            owners.append(h[owner])
+            size += len(found)
+            if size >= HELD_KEYS:
+                yield from _settled(np.concatenate(keys), np.concatenate(owners))
+                keys, owners, size = [], [], 0
+        if size:
+            yield from _settled(np.concatenate(keys), np.concatenate(owners))
 
     return docs.mapInArrow(run, "key long, h long")
 
 
+def _settled(keys: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row (key, h) for each key, of its smallest set; others are tied to that set by keys of their own."""
+    order = np.lexsort((h, keys))
+    keys, h = keys[order], h[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    least = h[np.flatnonzero(new)][np.cumsum(new) - 1]
+    tied = h != least
+    ties = np.unique(np.stack([h[tied], least[tied]], axis=1), axis=0)
+    own = mix(ties[:, 0].view(np.uint64) ^ mix(ties[:, 1].view(np.uint64) + np.uint64(17))) if len(ties) else np.zeros(0, np.uint64)
+    keys, h = np.concatenate([keys[new], own, own]), np.concatenate([h[new], ties[:, 0], ties[:, 1]])
+    for a in range(0, len(keys), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 18)])), pa.array(h[a : a + (1 << 18)])], names=["key", "h"])
+
+
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), BITMAP * 64), np.uint8)
     for i, s in enumerate(sets):
@@ -174,8 +198,10 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, ru
     """Places (i, j) of the linked pairs of sorted sets; i < j if both sides are the same list."""
     nl, nr = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     bl, br = _bitmaps(left), _bitmaps(right)
+    # numbers in the order of the values: an intersection marks one side's numbers and looks the other's up
+    known, flat = np.unique(np.concatenate(right), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(nr)])
-    flat = np.concatenate(right)
+    mark = np.zeros(len(known), bool)
     found_i, found_j = [], []
     for i, own in enumerate(left):
         js = np.arange(i + 1 if same else 0, len(right))
@@ -187,9 +213,17 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, ru
         js, least = js[most >= least], least[most >= least]
         if not len(js):
             continue
-        body = np.concatenate([flat[ends[j] : ends[j + 1]] for j in js]) if len(js) < len(right) else flat
-        at = np.minimum(np.searchsorted(own, body), len(own) - 1)
-        common = np.add.reduceat((own[at] == body).astype(np.int64), np.concatenate([[0], np.cumsum(nr[js])[:-1]]))
+        if same:
+            at = flat[ends[i] : ends[i + 1]]
+        else:
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            at = at[known[at] == own]
+        mark[at] = True
+        body = flat[ends[js[0]] : ends[js[-1] + 1]] if 2 * len(js) > js[-1] - js[0] else np.concatenate([flat[ends[j] : ends[j + 1]] for j in js])
+        begin = ends[js] - ends[js[0]] if 2 * len(js) > js[-1] - js[0] else np.concatenate([[0], np.cumsum(nr[js])[:-1]])
+        total = np.concatenate([[0], np.cumsum(mark[body], dtype=np.int64)])
+        common = total[begin + nr[js]] - total[begin]
+        mark[at] = False
         js = js[common >= least]
         found_i.append(np.full(len(js), i))
         found_j.append(js)
@@ -243,19 +277,19 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over a column key."""
+    """A Bloom filter of fixed size over a column key, as 64-bit words; tasks' parts are united by Spark."""
 
     def run(batches):
-        held = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for p in _places(batch.column("key").to_numpy(zero_copy_only=False)):
-                held[p] = True
-        if held.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], names=["bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.select("key").mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+            at = np.unique(np.concatenate(_places(batch.column("key").to_numpy(zero_copy_only=False))))
+            if len(at):
+                new = np.flatnonzero(np.concatenate([[True], at[1:] >> 6 != at[:-1] >> 6]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), new)
+                yield pa.RecordBatch.from_arrays([pa.array((at[new] >> 6).astype(np.int32)), pa.array(signed(bits))], names=["word", "bits"])
+
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    found = keys.select("key").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
@@ -264,14 +298,35 @@ def passing(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        held = np.unpackbits(shared.value).view(bool)
+        held = shared.value
         for batch in batches:
-            one, two = _places(batch.column("key").to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array((held[one] & held[two]) == inside))
+            one, two = ((held[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(batch.column("key").to_numpy(zero_copy_only=False)))
+            yield batch.filter(pa.array(((one & two) > 0) == inside))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _tiles(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(cluster, i, j, block, call: the blocks of every tile; members with their block).
+
+    A component of more than BLOCK elements is dealt by size band and, inside a band, by a hash into blocks of about
+    BLOCK elements, so nothing orders or holds a whole component.
+    """
+    total = members.groupBy("cluster").agg(F.sum("n").alias("total"))
+    step = F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log("n") / math.log(STEP)) + 1).cast("long")
+    sized = members.join(total, "cluster").withColumn("step", step)
+    cells = sized.groupBy("cluster", "step").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("salts"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("total").alias("total"))
+    cells = materialise(cells)
+    block = lambda salt: F.col("step") * (1 << 24) + salt
+    members = materialise(sized.select("h", "key", "cluster", "copies", "step").join(cells.select("cluster", "step", "salts"), ["cluster", "step"]).withColumn("block", block(F.pmod(F.xxhash64("h"), F.col("salts")))).drop("step", "salts"))
+    each = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("block", block(F.col("salt")))
+    i, j = each.select("cluster", F.col("block").alias("i"), "hi", "total"), each.select("cluster", F.col("block").alias("j"), "lo")
+    tiles = i.join(j, "cluster").where((F.col("i") <= F.col("j")) & (F.col("hi") * rule.den >= F.col("lo") * rule.num))
+    small = cells.where(F.col("total") <= BLOCK).agg(F.sum("total").alias("n")).first()["n"] or 0
+    call = F.when(F.col("total") <= BLOCK, F.pmod(F.xxhash64("cluster"), F.lit(max(1, small // BLOCK)))).otherwise(F.xxhash64("cluster", "i", "j"))
+    return tiles.withColumn("call", call).select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "call"), members
+
+
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document: its group.
 
@@ -299,18 +354,11 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
     heavy = {r["h"]: r["key"] for r in classes.where("copies > 1").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
     least = F.min("h").over(Window.partitionBy("key"))
-    ties = candidates(docs, rule, heavy).withColumn("b", least).where("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    with shuffles_removed(docs.sparkSession):
+        ties = materialise(candidates(docs, rule, heavy).withColumn("b", least).where("h <> b").select(F.col("h").alias("a"), "b").distinct())
     clusters = components(ties).withColumnRenamed("node", "h").withColumnRenamed("root", "cluster")
-    by_size = Window.partitionBy("cluster").orderBy("n", "h")
-    members = classes.join(clusters, "h").withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    members = materialise(members)
-    edges = members.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    last = edges.groupBy("cluster").agg(F.max("block").alias("last"))
-    i, j = edges.select("cluster", F.col("block").alias("i"), F.col("hi")), edges.select("cluster", F.col("block").alias("j"), F.col("lo"))
-    tiles = i.join(j, "cluster").where((F.col("i") <= F.col("j")) & (F.col("hi") * rule.den >= F.col("lo") * rule.num)).join(last, "cluster")
-    calls = max(1, members.select("cluster").distinct().count() // TOGETHER)
-    call = F.when(F.col("last") == 0, F.pmod(F.xxhash64("cluster"), F.lit(calls))).otherwise(F.xxhash64("cluster", "i", "j"))
-    tiles = tiles.withColumn("call", call).withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).select("cluster", "i", "j", "block", "call")
+    members = materialise(classes.join(clusters, "h"))
+    tiles, members = _tiles(members, rule)
 
     def sets(batches):
         for block in blocks(batches):
@@ -322,11 +370,11 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["h", "shingles"])
 
     # the text of one document of each class in question
-    wanted = members.select("key").distinct()
-    texts = passing(docs.select("key", "text"), key_filter(wanted), True).join(wanted, "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
-    texts = texts.groupBy("h").agg(F.any_value("shingles").alias("shingles"))
+    wanted = members.select("h", "key")
+    texts = passing(docs.select("key", "text"), key_filter(wanted), True).join(wanted.select("key"), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     placed = members.select("h", "cluster", "block", "copies").join(texts, "h").join(tiles, ["cluster", "block"])
-    found = materialise(placed.groupBy("call", "i", "j").applyInPandas(_tile(rule), "a long, b long, links long"))
+    with shuffles_removed(docs.sparkSession):
+        found = materialise(placed.groupBy("call", "i", "j").applyInPandas(_tile(rule), "a long, b long, links long"))
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     about = classes.select("h", "copies").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").join(links.withColumnRenamed("a", "h"), "h", "left")

@@ -17,11 +17,12 @@ block before the shuffle. Groups are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domora.llm.text import BLOCK_BYTES, blocks, mix, powers, prefix, ranges, signed, utf8
@@ -116,12 +117,16 @@ def _block_rows(block: pa.RecordBatch, depth: int, hot: np.ndarray) -> tuple[np.
     return cols[0], cols[1], key, pos, np.concatenate([x[4] for x in out])
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """name, lengthened until no column of docs has it."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, the shuffle files of an action are deleted at its end; each one must be a whole pass."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
 
 
 def keyed(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
