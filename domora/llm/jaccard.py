@@ -5,13 +5,13 @@
    differ in at most d elements, so if hashing deals the elements into d + 1 parts, some part is the same in
    both. A set therefore gives one key for each part (band, part, hash of the part's elements); sets that share
    none are not linked. A frequent n-gram makes no hot key, as a key is the whole part. Where a part is empty
-   the elements are dealt again with another seed, so that no link rests on empty parts.
-3. Sets that share a key are tied to its smallest set (a star, not all pairs; tasks settle their own keys before the
-   shuffle, so that a key sends one row a task); the components of these ties hold every link. Each component is
-   dealt into blocks of a size band and a bounded number of elements; a tile is a pair of blocks whose sizes allow
-   links. In a tile the bit counts of hashed bitmaps bound the overlap from above, and the sorted arrays of the
-   pairs within the bound are intersected exactly.
-4. The links' components, with equal sets put back, are the groups.
+   the elements are dealt again with another seed, so that no link rests on empty parts. Sets that share a key are
+   tied to its smallest set (a star, not all pairs); a star's sets are a group that holds every pair of its keys.
+3. Groups are dealt into blocks of a size band and a bounded number of elements; a tile is a pair of blocks whose
+   sizes allow links. Tiles of hashed bitmaps come first: bit counts bound the overlap from above, and only sets
+   within a pair's bound stay, now in groups of sets that are tied by such pairs.
+4. Tiles of these groups intersect the sorted arrays exactly. The links' components, with equal sets put back, are
+   the result.
 
 Sets are compared by 64-bit hashes of their n-grams.
 """
@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domora.llm.text import LOWER, blocks, mix, prefix, ranges, signed, utf8, windows, words
@@ -34,13 +34,11 @@ from domora.llm.suffixes import keyed, shuffles_removed
 from domora.operators.graph import components
 from domora.session import materialise, table
 
-#: Elements of the sets in a block of a tile (about 4 MB); components within it are one block, and some share a call.
+#: Elements of the sets in a block of a tile (about 4 MB); groups within it are one block, and some share a call.
 BLOCK = 1 << 19
-#: Width of the size bands of the blocks of larger components; 64-bit words of a bitmap.
+#: Width of the size bands of the blocks of larger groups; bits of a bitmap for each element, at least.
 STEP = 1.0625
-BITMAP = 16
-#: Keys that a task holds before it settles and sends them.
-HELD_KEYS = 1 << 21
+BITS = 4
 #: Classes of equal sets that are known to the candidate scan, which passes over their copies.
 HEAVY = 4096
 #: Up to so many parts an empty one is dealt with by another seed; above, the chance that all equal parts are empty is below 1e-10 even for a pair at the threshold.
@@ -144,13 +142,12 @@ def digests(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, n_shingles long, h long")
 
 
-def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
-    """key, h of all parts of all sets; copies of the heavy classes give none but at one document."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries
+def part_keys(docs: DataFrame, rule: Rule, heavy: dict[int, int], only: np.ndarray | None = None) -> DataFrame:
+    """key, h of all parts of all sets; copies of the heavy classes give none but at one document. only: a filter of keys."""
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, only))  # at most HEAVY entries, FILTER_BITS bits
 
     def run(batches):
-        held = shared.value
-        keys, owners, size = [], [], 0
+        held, bits = shared.value
         for block in blocks(batches):
             value, rows, n = shingles(block.column("text"), rule.n)
             h = signed(_digest(value, rows, n))
@@ -160,57 +157,105 @@ def candidates(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
                 if x in held and held[x] != doc:
                     first[i] = False
             mine = first[rows]
-            found, owner = _part_keys(value[mine], rows[mine], np.bincount(rows[mine], minlength=n), rule)
-            keys.append(found)
-            owners.append(h[owner])
-            size += len(found)
-            if size >= HELD_KEYS:
-                yield from _settled(np.concatenate(keys), np.concatenate(owners))
-                keys, owners, size = [], [], 0
-        if size:
-            yield from _settled(np.concatenate(keys), np.concatenate(owners))
+            keys, owner = _part_keys(value[mine], rows[mine], np.bincount(rows[mine], minlength=n), rule)
+            if bits is not None:
+                known = _may_hold(bits, keys)
+                keys, owner = keys[known], owner[known]
+            for a in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 18)])), pa.array(h[owner[a : a + (1 << 18)]])], names=["key", "h"])
 
     return docs.mapInArrow(run, "key long, h long")
 
 
-def _settled(keys: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row (key, h) for each key, of its smallest set; others are tied to that set by keys of their own."""
-    order = np.lexsort((h, keys))
-    keys, h = keys[order], h[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    least = h[np.flatnonzero(new)][np.cumsum(new) - 1]
-    tied = h != least
-    ties = np.unique(np.stack([h[tied], least[tied]], axis=1), axis=0)
-    own = mix(ties[:, 0].view(np.uint64) ^ mix(ties[:, 1].view(np.uint64) + np.uint64(17))) if len(ties) else np.zeros(0, np.uint64)
-    keys, h = np.concatenate([keys[new], own, own]), np.concatenate([h[new], ties[:, 0], ties[:, 1]])
-    for a in range(0, len(keys), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 18)])), pa.array(h[a : a + (1 << 18)])], names=["key", "h"])
+def stars(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
+    """h, cluster: every set that shares a key with others, with the smallest set of each such key; written.
 
+    Keys are counted with a combine in the tasks first. The few that several sets share make a filter, so that
+    the join that finds their sets need not shuffle all keys again; a key that very many sets share is split there.
+    """
+    least, most = F.min("h").alias("cluster"), F.max("h").alias("most")
+    with shuffles_removed(docs.sparkSession):
+        common = materialise(part_keys(docs, rule, heavy).groupBy("key").agg(least, most).where("cluster <> most").select("key", "cluster"))
+        bits = key_filter(common)
+        found = part_keys(docs, rule, heavy, bits).join(common, "key").select("h", "cluster").distinct()
+        return materialise(found)
+
+
+def signature(values: np.ndarray) -> bytes:
+    """A bitmap of the hashed elements of a set, of a power of two of bits."""
+    size = max(64, 1 << (BITS * len(values) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(values & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _least_common(rule: Rule, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest intersection of linked sets of these sizes."""
+    return -(-rule.num * (a + b) // (rule.num + rule.den))
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), BITMAP * 64), np.uint8)
-    for i, s in enumerate(sets):
-        out[i, (s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (BITMAP * 64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
 
+class Ties:
+    """A forest over places, as labels; ties holds its edges."""
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the linked pairs of sorted sets; i < j if both sides are the same list."""
+    def __init__(self, n: int):
+        self.label, self.ties = np.arange(n), []
+
+    def tie(self, i: int, js: np.ndarray) -> None:
+        for new in np.unique(self.label[js]):
+            if new != self.label[i]:
+                self.ties.append((i, int(js[np.flatnonzero(self.label[js] == new)[0]])))
+                self.label[self.label == new] = self.label[i]
+
+
+def bounded_ties(n: np.ndarray, maps: list[bytes], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """A forest of the pairs whose bitmaps allow a link. side: 0 and 1, pairs are between them; all 0: pairs inside.
+
+    Bitmaps of sizes that differ by a factor of two are compared after the larger one is folded; linked sets never
+    differ by more.
+    """
+    level = np.array([len(x) for x in maps])
+    forest = Ties(len(maps))
+    for width in np.unique(level):
+        folded = level == 2 * width
+        rows = np.flatnonzero((level == width) | folded)
+        body = np.zeros((len(rows), max(1, width // 8)), np.uint64)
+        for r, i in enumerate(rows):
+            words = np.frombuffer(maps[i], np.uint64)
+            body[r] = words[: len(words) // 2] | words[len(words) // 2 :] if folded[i] else words
+        two = side.any()
+        for r, i in enumerate(rows):
+            if two and side[i]:
+                continue
+            js = np.flatnonzero(side[rows] == 1) if two else np.arange(r + 1, len(rows))
+            js = js[(forest.label[rows[js]] != forest.label[i]) & ~(folded[i] & folded[rows[js]])]
+            least = _least_common(rule, n[i], n[rows[js]])
+            js, least = js[least <= np.minimum(n[i], n[rows[js]])], least[least <= np.minimum(n[i], n[rows[js]])]
+            if not len(js):
+                continue
+            mine, theirs = body[r], body[js]
+            most = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[rows[js]] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            if (most >= least).any():
+                forest.tie(i, rows[js[most >= least]])
+    return forest.ties
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, rule: Rule, every: bool = True) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(i, j, ties): places of the linked pairs of sorted sets, i < j if both sides are the same list, and a forest of them.
+
+    Right places count on after the left ones in ties. Without every, pairs that are tied already are not compared.
+    """
     nl, nr = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    bl, br = _bitmaps(left), _bitmaps(right)
     # numbers in the order of the values: an intersection marks one side's numbers and looks the other's up
     known, flat = np.unique(np.concatenate(right), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(nr)])
-    mark = np.zeros(len(known), bool)
-    found_i, found_j = [], []
+    mark, base = np.zeros(len(known), bool), 0 if same else len(left)
+    forest, found_i, found_j = Ties(base + len(right)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, own in enumerate(left):
         js = np.arange(i + 1 if same else 0, len(right))
-        least = -(-rule.num * (nl[i] + nr[js]) // (rule.num + rule.den))  # smallest intersection of a link
+        if not every:
+            js = js[forest.label[base + js] != forest.label[i]]
+        least = _least_common(rule, nl[i], nr[js])
         js, least = js[least <= np.minimum(nl[i], nr[js])], least[least <= np.minimum(nl[i], nr[js])]
-        if not len(js):
-            continue
-        most = np.minimum(nl[i] - np.bitwise_count(bl[i] & ~br[js]).sum(axis=1, dtype=np.int64), nr[js] - np.bitwise_count(br[js] & ~bl[i]).sum(axis=1, dtype=np.int64))
-        js, least = js[most >= least], least[most >= least]
         if not len(js):
             continue
         if same:
@@ -219,50 +264,59 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, ru
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             at = at[known[at] == own]
         mark[at] = True
-        body = flat[ends[js[0]] : ends[js[-1] + 1]] if 2 * len(js) > js[-1] - js[0] else np.concatenate([flat[ends[j] : ends[j + 1]] for j in js])
-        begin = ends[js] - ends[js[0]] if 2 * len(js) > js[-1] - js[0] else np.concatenate([[0], np.cumsum(nr[js])[:-1]])
+        dense = 2 * len(js) > js[-1] - js[0]
+        body = flat[ends[js[0]] : ends[js[-1] + 1]] if dense else np.concatenate([flat[ends[j] : ends[j + 1]] for j in js])
+        begin = ends[js] - ends[js[0]] if dense else np.concatenate([[0], np.cumsum(nr[js])[:-1]])
         total = np.concatenate([[0], np.cumsum(mark[body], dtype=np.int64)])
-        common = total[begin + nr[js]] - total[begin]
+        js = js[total[begin + nr[js]] - total[begin] >= least]
         mark[at] = False
-        js = js[common >= least]
-        found_i.append(np.full(len(js), i))
-        found_j.append(js)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
+        if len(js):
+            forest.tie(i, base + js)
+            found_i.append(np.full(len(js), i))
+            found_j.append(js)
+    return np.concatenate(found_i), np.concatenate(found_j), forest.ties
+
+
+def _sides(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, bool]]:
+    """(left, right, whether they are one block) of each tile of a call."""
+    for _, own in frame.groupby("cluster"):
+        i, j = own["i"].iloc[0], own["j"].iloc[0]
+        left, right = (own[own["block"] == b].sort_values("h") for b in (i, j))
+        if len(left) and len(right):
+            yield left, right, i == j
 
 
-def _tile(rule: Rule):
+def _bitmap_tile(rule: Rule):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Rows a, b: a forest of the links; rows a, null: the copies that a is linked with."""
+        """a, b: a forest of the pairs that the bitmaps allow."""
         out = []
-        for _, own in frame.groupby("cluster"):
-            i_block, j_block = own["i"].iloc[0], own["j"].iloc[0]
-            sides = [own[own["block"] == b].sort_values("h") for b in dict.fromkeys((i_block, j_block))]
-            arrays = [[np.asarray(s, np.int64) for s in side["shingles"]] for side in sides]
-            same = len(sides) == 1
-            i, j = linked_pairs(arrays[0], arrays[-1], same, rule)
-            if not len(i):
-                continue
-            hs = [s["h"].to_numpy() for s in sides]
-            copies = [s["copies"].to_numpy() for s in sides]
-            for nodes, to, of in ((hs[0], i, copies[-1][j]), (hs[-1], j, copies[0][i])):
-                links = np.bincount(to, weights=of, minlength=len(nodes)).astype(np.int64)
-                out.append(pd.DataFrame({"a": nodes[links > 0], "b": pd.array([pd.NA] * int((links > 0).sum()), "Int64"), "links": links[links > 0]}))
-            root: dict[int, int] = {}
-
-            def find(x, root=root):
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                return x
-
-            tied = []
-            for x, y in zip(hs[0][i].tolist(), hs[-1][j].tolist(), strict=True):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    tied.append((x, y))
-            out.append(pd.DataFrame({"a": [t[0] for t in tied], "b": pd.array([t[1] for t in tied], "Int64"), "links": 0}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "links": pd.Series(dtype="int64")})
+        for left, right, same in _sides(frame):
+            both = left if same else pd.concat([left, right])
+            side = np.zeros(len(both), np.int8)
+            side[len(left) :] = 1
+            h = both["h"].to_numpy()
+            out += [(h[i], h[j]) for i, j in bounded_ties(both["n"].to_numpy(np.int64), both["signature"].to_list(), side, rule)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _exact_tile(rule: Rule, every: bool):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Rows a, b: a forest of the links; rows a, null: the copies that a is linked with."""
+        out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "links": pd.Series(dtype="int64")})]
+        for left, right, same in _sides(frame):
+            arrays = [[np.asarray(s, np.int64) for s in side["shingles"]] for side in ((left,) if same else (left, right))]
+            i, j, ties = linked_pairs(arrays[0], arrays[-1], same, rule, every)
+            hs = np.concatenate([s["h"].to_numpy() for s in ((left,) if same else (left, right))])
+            if every and len(i):
+                copies, base = [left["copies"].to_numpy(), right["copies"].to_numpy()], 0 if same else len(left)
+                links = np.bincount(i, copies[1][j], len(hs)) + np.bincount(base + j, copies[0][i], len(hs))
+                found = links > 0
+                out.append(pd.DataFrame({"a": hs[found], "b": pd.array([pd.NA] * int(found.sum()), "Int64"), "links": links[found].astype(np.int64)}))
+            if ties:
+                out.append(pd.DataFrame({"a": hs[[t[0] for t in ties]], "b": pd.array(hs[[t[1] for t in ties]], "Int64"), "links": 0}))
+        return pd.concat(out)
 
     return run
 
@@ -272,7 +326,7 @@ FILTER_BITS = 1 << 25
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(41))
+    h = mix(keys.view(np.uint64) + np.uint64(41))
     return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
@@ -293,24 +347,27 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = ((bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys))
+    return (one & two) > 0
+
+
 def passing(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     """Rows whose key may be in the filter, or those whose key is not."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        held = shared.value
         for batch in batches:
-            one, two = ((held[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(batch.column("key").to_numpy(zero_copy_only=False)))
-            yield batch.filter(pa.array(((one & two) > 0) == inside))
+            yield batch.filter(pa.array(_may_hold(shared.value, batch.column("key").to_numpy(zero_copy_only=False)) == inside))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def _tiles(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(cluster, i, j, block, call: the blocks of every tile; members with their block).
+    """(cluster, i, j, block, call: the blocks of every tile; members with their block), of members (cluster, h, n).
 
-    A component of more than BLOCK elements is dealt by size band and, inside a band, by a hash into blocks of about
-    BLOCK elements, so nothing orders or holds a whole component.
+    A group of more than BLOCK elements is dealt by size band and, inside a band, by a hash into blocks of about
+    BLOCK elements, so nothing orders or holds a whole group.
     """
     total = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     step = F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log("n") / math.log(STEP)) + 1).cast("long")
@@ -318,7 +375,7 @@ def _tiles(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     cells = sized.groupBy("cluster", "step").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("salts"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("total").alias("total"))
     cells = materialise(cells)
     block = lambda salt: F.col("step") * (1 << 24) + salt
-    members = materialise(sized.select("h", "key", "cluster", "copies", "step").join(cells.select("cluster", "step", "salts"), ["cluster", "step"]).withColumn("block", block(F.pmod(F.xxhash64("h"), F.col("salts")))).drop("step", "salts"))
+    members = sized.drop("total").join(cells.select("cluster", "step", "salts"), ["cluster", "step"]).withColumn("block", block(F.pmod(F.xxhash64("h"), F.col("salts")))).drop("step", "salts")
     each = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("block", block(F.col("salt")))
     i, j = each.select("cluster", F.col("block").alias("i"), "hi", "total"), each.select("cluster", F.col("block").alias("j"), "lo")
     tiles = i.join(j, "cluster").where((F.col("i") <= F.col("j")) & (F.col("hi") * rule.den >= F.col("lo") * rule.num))
@@ -327,6 +384,14 @@ def _tiles(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     return tiles.withColumn("call", call).select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "call"), members
 
 
+def _in_tiles(members: DataFrame, payload: DataFrame, rule: Rule, run, schema: str) -> DataFrame:
+    """run() over the tiles of members (cluster, key, h, n, ...), each set with its payload (key, ...); written."""
+    with shuffles_removed(members.sparkSession):
+        tiles, members = _tiles(members, rule)
+        placed = members.join(payload, "key").drop("key").join(tiles, ["cluster", "block"])
+        return materialise(placed.groupBy("call", "i", "j").applyInPandas(run, schema))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document: its group.
 
@@ -334,53 +399,53 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     stays (the first document of its group). Null, empty and wordless texts have no shingles, are linked with
     nothing and stay; texts of fewer than n words are one shingle. Repeated rows are documents each, linked if
     they have words; a null doc_id keeps its row and is the smallest only where all of a group are null.
-    Only doc_id and text are read.
+    Only doc_id and text are read. An empty table gives an empty one.
     """
-    return _groups(keyed(docs), rule).drop("key")
+    return _groups(keyed(docs), rule, True).drop("key")
 
 
 def keep_first(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataFrame:
     """doc_id, text and the extra columns of the first document of each group; the same documents stay as above."""
     docs = keyed(docs, extra)
-    gone = materialise(_groups(docs, rule).where("not stays").select("key"))
+    gone = materialise(_groups(docs, rule, False).where("not stays").select("key"))
     bits = key_filter(gone)
     doubtful = passing(docs, bits, True).join(gone, "key", "left_anti")
     return passing(docs, bits, False).unionByName(doubtful).drop("key")
 
 
-def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
-    """near_duplicates() of keyed documents, with their key."""
-    known = materialise(digests(docs.select("key", "doc_id", "text"), rule))
-    classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
-    heavy = {r["h"]: r["key"] for r in classes.where("copies > 1").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
-    least = F.min("h").over(Window.partitionBy("key"))
-    with shuffles_removed(docs.sparkSession):
-        ties = materialise(candidates(docs, rule, heavy).withColumn("b", least).where("h <> b").select(F.col("h").alias("a"), "b").distinct())
-    clusters = components(ties).withColumnRenamed("node", "h").withColumnRenamed("root", "cluster")
-    members = materialise(classes.join(clusters, "h"))
-    tiles, members = _tiles(members, rule)
+def _payload(docs: DataFrame, wanted: DataFrame, rule: Rule, name: str, kind: str, of) -> DataFrame:
+    """key and of(sorted elements) of the documents that a column key of wanted names; the filter may let a few more pass."""
 
-    def sets(batches):
+    def run(batches):
         for block in blocks(batches):
             value, rows, n = shingles(block.column("text"), rule.n)
-            h = signed(_digest(value, rows, n))
             ends = np.searchsorted(rows, np.arange(n + 1))
-            own = [np.sort(signed(value[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            flat = np.concatenate([*own, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["h", "shingles"])
-
-    # the text of one document of each class in question
-    wanted = members.select("h", "key")
-    texts = passing(docs.select("key", "text"), key_filter(wanted), True).join(wanted.select("key"), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
-    placed = members.select("h", "cluster", "block", "copies").join(texts, "h").join(tiles, ["cluster", "block"])
-    with shuffles_removed(docs.sparkSession):
-        found = materialise(placed.groupBy("call", "i", "j").applyInPandas(_tile(rule), "a long, b long, links long"))
+            found = pa.array([of(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([block.column("key"), found], names=["key", name])
+
+    return passing(docs.select("key", "text"), key_filter(wanted), True).mapInArrow(run, f"key long, {name} {kind}")
+
+
+def _groups(docs: DataFrame, rule: Rule, every: bool) -> DataFrame:
+    """near_duplicates() of keyed documents, with their key; without every, n_links is not counted (null)."""
+    known = materialise(digests(docs.select("key", "doc_id", "text"), rule))
+    classes = known.where("n_shingles > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
+    classes = materialise(classes)
+    heavy = {r["h"]: r["key"] for r in classes.where("copies > 1").orderBy(F.desc("copies"), "h").limit(HEAVY).collect()}
+    about = classes.select("h", "key", "n", "copies")
+    wide = materialise(stars(docs, rule, heavy).join(about, "h"))
+    bitmaps = _payload(docs, wide, rule, "signature", "binary", signature)
+    ties = _in_tiles(wide.select("cluster", "key", "h", "n"), bitmaps, rule, _bitmap_tile(rule), "a long, b long")
+    narrow = materialise(components(ties).select(F.col("node").alias("h"), F.col("root").alias("cluster")).join(about, "h"))
+    arrays = _payload(docs, narrow, rule, "shingles", "array<long>", lambda x: np.sort(signed(x)))
+    found = _in_tiles(narrow.select("cluster", "key", "h", "n", "copies"), arrays, rule, _exact_tile(rule, every), "a long, b long, links long")
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    about = classes.select("h", "copies").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").join(links.withColumnRenamed("a", "h"), "h", "left")
-    about = about.select("h", F.coalesce("root", "h").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    labelled = known.where("n_shingles > 0").join(about, "h")
-    first = classes.select("h", "doc_id", "key").join(about, "h").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("least"))
+    linked = classes.select("h", "copies").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").join(links.withColumnRenamed("a", "h"), "h", "left")
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if every else F.lit(None).cast("long")
+    linked = linked.select("h", F.coalesce("root", "h").alias("root"), n_links.alias("n_links"))
+    labelled = known.where("n_shingles > 0").join(linked, "h")
+    first = classes.select("h", "doc_id", "key").join(linked, "h").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("least"))
     names = ["key", "doc_id", "n_shingles", "component_id", "n_links", "stays"]
     full = labelled.join(first, "root").withColumn("stays", F.col("key") == F.col("least")).select(*names)
     none = known.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))

@@ -68,7 +68,6 @@ def brute_groups(texts, rule):
 @pytest.mark.parametrize("rule", [jaccard.Rule(3, 90), jaccard.Rule(5, 80), jaccard.Rule(2, 60)])
 def test_near_duplicates(spark, corpus, rule, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 400)  # groups of several tiles
-    monkeypatch.setattr(jaccard, "HELD_KEYS", 500)
     frame, rows = corpus
     order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
     sets, root, links = brute_groups([t for _, t in order], rule)
