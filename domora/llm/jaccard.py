@@ -39,6 +39,8 @@ BLOCK = 1 << 19
 #: Width of the size bands of the blocks of larger groups; bits of a bitmap for each element, at least.
 STEP = 1.0625
 BITS = 4
+#: Keys that a task holds before it combines and sends them; partitions of these keys, for each of Spark's shuffle partitions.
+HELD_KEYS, KEY_PARTITIONS = 1 << 19, 4
 #: Classes of equal sets that are known to the candidate scan, which passes over their copies.
 HEAVY = 4096
 #: Up to so many parts an empty one is dealt with by another seed; above, the chance that all equal parts are empty is below 1e-10 even for a pair at the threshold.
@@ -167,17 +169,39 @@ def part_keys(docs: DataFrame, rule: Rule, heavy: dict[int, int], only: np.ndarr
     return docs.mapInArrow(run, "key long, h long")
 
 
+def combined_keys(keys: DataFrame) -> DataFrame:
+    """key, lo, hi: the least and the largest set of each key, combined in the tasks."""
+
+    def combine(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((h, keys))
+        keys, h = keys[order], h[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(h[new]), pa.array(h[np.append(new[1:], True)])], names=["key", "lo", "hi"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "h")])
+            size += batch.num_rows
+            if size >= HELD_KEYS:
+                yield combine(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield combine(*map(np.concatenate, zip(*held, strict=True)))
+
+    parts = KEY_PARTITIONS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.mapInArrow(run, "key long, lo long, hi long").repartition(parts, "key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def stars(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
     """h, cluster: every set that shares a key with others, with the smallest set of each such key; written.
 
-    Keys are counted with a combine in the tasks first. The few that several sets share make a filter, so that
-    the join that finds their sets need not shuffle all keys again; a key that very many sets share is split there.
+    The few keys that several sets share make a filter, so that the join that finds their sets need not shuffle all
+    keys again; a key that very many sets share is split there.
     """
-    least, most = F.min("h").alias("cluster"), F.max("h").alias("most")
     with shuffles_removed(docs.sparkSession):
-        common = materialise(part_keys(docs, rule, heavy).groupBy("key").agg(least, most).where("cluster <> most").select("key", "cluster"))
-        bits = key_filter(common)
-        found = part_keys(docs, rule, heavy, bits).join(common, "key").select("h", "cluster").distinct()
+        common = materialise(combined_keys(part_keys(docs, rule, heavy)).where("lo <> hi").select("key", F.col("lo").alias("cluster")))
+        found = part_keys(docs, rule, heavy, key_filter(common)).join(common, "key").select("h", "cluster").distinct()
         return materialise(found)
 
 
