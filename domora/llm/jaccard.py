@@ -40,7 +40,7 @@ BLOCK = 1 << 19
 STEP = 1.0625
 BITS = 4
 #: Keys that a task holds before it combines and sends them; partitions of these keys, for each of Spark's shuffle partitions.
-HELD_KEYS, KEY_PARTITIONS = 1 << 19, 4
+HELD_KEYS, KEY_PARTITIONS = 1 << 19, 3
 #: Classes of equal sets that are known to the candidate scan, which passes over their copies.
 HEAVY = 4096
 #: Up to so many parts an empty one is dealt with by another seed; above, the chance that all equal parts are empty is below 1e-10 even for a pair at the threshold.
@@ -145,52 +145,53 @@ def digests(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def part_keys(docs: DataFrame, rule: Rule, heavy: dict[int, int], only: np.ndarray | None = None) -> DataFrame:
-    """key, h of all parts of all sets; copies of the heavy classes give none but at one document. only: a filter of keys."""
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, only))  # at most HEAVY entries, FILTER_BITS bits
-
-    def run(batches):
-        held, bits = shared.value
-        for block in blocks(batches):
-            value, rows, n = shingles(block.column("text"), rule.n)
-            h = signed(_digest(value, rows, n))
-            first = np.zeros(n, bool)
-            first[np.unique(h, return_index=True)[1]] = True
-            for i, (x, doc) in enumerate(zip(h.tolist(), block.column("key").to_pylist(), strict=True)):
-                if x in held and held[x] != doc:
-                    first[i] = False
-            mine = first[rows]
-            keys, owner = _part_keys(value[mine], rows[mine], np.bincount(rows[mine], minlength=n), rule)
-            if bits is not None:
-                known = _may_hold(bits, keys)
-                keys, owner = keys[known], owner[known]
-            for a in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 18)])), pa.array(h[owner[a : a + (1 << 18)]])], names=["key", "h"])
-
-    return docs.mapInArrow(run, "key long, h long")
+    """key, lo, hi: the parts of all sets, and a set (twice) or the least and the largest set of those that a task holds.
 
+    Copies of the heavy classes give none but at one document. only: a filter of keys, whose sets come one by one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, only))  # at most HEAVY entries, FILTER_BITS bits
 
-def combined_keys(keys: DataFrame) -> DataFrame:
-    """key, lo, hi: the least and the largest set of each key, combined in the tasks."""
-
-    def combine(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    def found(block: pa.RecordBatch, held: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        value, rows, n = shingles(block.column("text"), rule.n)
+        h = signed(_digest(value, rows, n))
+        first = np.zeros(n, bool)
+        first[np.unique(h, return_index=True)[1]] = True
+        for i, (x, doc) in enumerate(zip(h.tolist(), block.column("key").to_pylist(), strict=True)):
+            if x in held and held[x] != doc:
+                first[i] = False
+        mine = first[rows]
+        keys, owner = _part_keys(value[mine], rows[mine], np.bincount(rows[mine], minlength=n), rule)
+        return keys, h[owner]
+
+    def batch(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(keys), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[a : a + (1 << 17)])), *(pa.array(x[a : a + (1 << 17)]) for x in (lo, hi))], names=["key", "lo", "hi"])
+
+    def combined(held: list) -> Iterator[pa.RecordBatch]:
+        keys, h = map(np.concatenate, zip(*held, strict=True))
         order = np.lexsort((h, keys))
         keys, h = keys[order], h[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(h[new]), pa.array(h[np.append(new[1:], True)])], names=["key", "lo", "hi"])
+        yield from batch(keys[new], h[new], h[np.append(new[1:], True)])
 
     def run(batches):
+        heavy, bits = shared.value
         held, size = [], 0
-        for batch in batches:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "h")])
-            size += batch.num_rows
+        for block in blocks(batches):
+            keys, h = found(block, heavy)
+            if bits is not None:
+                known = _may_hold(bits, keys)
+                yield from batch(keys[known], h[known], h[known])
+                continue
+            held.append((keys, h))
+            size += len(keys)
             if size >= HELD_KEYS:
-                yield combine(*map(np.concatenate, zip(*held, strict=True)))
+                yield from combined(held)
                 held, size = [], 0
         if size:
-            yield combine(*map(np.concatenate, zip(*held, strict=True)))
+            yield from combined(held)
 
-    parts = KEY_PARTITIONS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.mapInArrow(run, "key long, lo long, hi long").repartition(parts, "key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return docs.select("key", "text").mapInArrow(run, "key long, lo long, hi long")
 
 
 def stars(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
@@ -200,8 +201,10 @@ def stars(docs: DataFrame, rule: Rule, heavy: dict[int, int]) -> DataFrame:
     keys again; a key that very many sets share is split there.
     """
     with shuffles_removed(docs.sparkSession):
-        common = materialise(combined_keys(part_keys(docs, rule, heavy)).where("lo <> hi").select("key", F.col("lo").alias("cluster")))
-        found = part_keys(docs, rule, heavy, key_filter(common)).join(common, "key").select("h", "cluster").distinct()
+        parts = KEY_PARTITIONS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = part_keys(docs, rule, heavy).repartition(parts, "key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        common = materialise(keys.where("lo <> hi").select("key", F.col("lo").alias("cluster")))
+        found = part_keys(docs, rule, heavy, key_filter(common)).join(common, "key").select(F.col("lo").alias("h"), "cluster").distinct()
         return materialise(found)
 
 
@@ -346,7 +349,7 @@ def _exact_tile(rule: Rule, every: bool):
 
 
 #: Bits of the filter that spares texts a shuffle; with many more keys it lets all pass, and the joins do the work.
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 24
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -439,15 +442,17 @@ def keep_first(docs: DataFrame, rule: Rule, extra: list[str] = ()) -> DataFrame:
 
 def _payload(docs: DataFrame, wanted: DataFrame, rule: Rule, name: str, kind: str, of) -> DataFrame:
     """key and of(sorted elements) of the documents that a column key of wanted names; the filter may let a few more pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     def run(batches):
-        for block in blocks(batches):
-            value, rows, n = shingles(block.column("text"), rule.n)
-            ends = np.searchsorted(rows, np.arange(n + 1))
-            found = pa.array([of(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([block.column("key"), found], names=["key", name])
+        for batch in batches:
+            for block in blocks([batch.filter(pa.array(_may_hold(shared.value, batch.column("key").to_numpy(zero_copy_only=False))))]):
+                value, rows, n = shingles(block.column("text"), rule.n)
+                ends = np.searchsorted(rows, np.arange(n + 1))
+                found = pa.array([of(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([block.column("key"), found], names=["key", name])
 
-    return passing(docs.select("key", "text"), key_filter(wanted), True).mapInArrow(run, f"key long, {name} {kind}")
+    return docs.select("key", "text").mapInArrow(run, f"key long, {name} {kind}")
 
 
 def _groups(docs: DataFrame, rule: Rule, every: bool) -> DataFrame:

@@ -31,6 +31,8 @@ MIN_EVIDENCE = 10.0
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,!?;:\"'()")] = True
 PATTERNS = 4
+#: Sampled rows that the fits take at once.
+ROWS = 2048
 
 
 def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def hits(column: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def features(found: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Votes of the lexicon and of the patterns: any hit, three different ones, a hit in 200 words, a hit in 50."""
     any_ = (found > 0).astype(np.float32)
-    times, kinds = found.sum(1), any_.sum(1)
+    times, kinds = found.sum(1, dtype=np.int64), any_.sum(1)
     rate = times / np.maximum(total, 1)
     patterns = np.stack([kinds > 0, kinds > 2, rate > 1 / 200, rate > 1 / 50], axis=1).astype(np.float32)
     return np.concatenate([any_, patterns], axis=1)
@@ -95,9 +97,13 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 8) -> tuple[
     for _ in range(rounds):
         for y, w in ((1, q), (0, 1 - q)):
             rates[y] = (w @ votes + 0.5 * votes.mean(0) + 0.05) / (w.sum() + 0.5 + 0.1)
-        left = votes - q[:, None] * rates[1] - (1 - q)[:, None] * rates[0]
-        spread = np.sqrt(np.maximum((left**2).mean(0), 1e-9))
-        corr = (left.T @ left) / len(left) / np.outer(spread, spread)
+        cover = np.zeros((votes.shape[1], votes.shape[1]))
+        for a in range(0, len(votes), ROWS):  # what the labels leave, a few rows at once
+            part = q[a : a + ROWS, None]
+            left = votes[a : a + ROWS] - part * rates[1] - (1 - part) * rates[0]
+            cover += left.T @ left / len(votes)
+        spread = np.sqrt(np.maximum(np.diag(cover), 1e-9))
+        corr = cover / np.outer(spread, spread)
         np.fill_diagonal(corr, 0)
         discount = 1 / (1 + np.maximum(corr - 0.05, 0).sum(1))
         on = np.log(rates[1] / rates[0]) * discount
@@ -110,13 +116,17 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 8) -> tuple[
 
 def logistic(x: np.ndarray, q: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on probabilities q by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(float)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], l2)
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(ridge), x.T @ (q - p) - ridge * w)
+        curve, slope = np.diag(ridge), -ridge * w
+        for a in range(0, len(x), ROWS):
+            part = np.column_stack([x[a : a + ROWS], np.ones(len(x[a : a + ROWS]))]).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part.T * np.maximum(p * (1 - p), 1e-6)) @ part
+            slope += part.T @ (q[a : a + ROWS] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -172,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             )
 
     got = rows.mapInArrow(voted, "toxic int, total long, found binary").toPandas()  # SAMPLE rows of VOTERS bytes
-    found = np.stack([np.frombuffer(f, np.uint8) for f in got["found"]]).astype(np.int32).reshape(len(got), len(lexicon))
+    found = np.stack([np.frombuffer(f, np.uint8) for f in got["found"]]).reshape(len(got), len(lexicon))
     gold_label = (got["toxic"].to_numpy() > 0).astype(float)
     x = features(found, got["total"].to_numpy())
     q, _, _ = label_model(x, gold_label * 0.96 + 0.02)
