@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domora.llm.text import blocks, utf8
+from domora.llm.text import blocks, release, utf8
 from domora.session import table
 
 #: Characters of a pre-token above which it is encoded as a tree, and characters of a leaf.
@@ -159,7 +159,8 @@ def _split(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             data = raw.tobytes()
             ids = enc.batch([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        enc.memo = {}  # the worker lives on for other tasks
+        enc.memo = {}
+        release()  # the worker lives on for other tasks
 
     return rows.where(~long).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), rows.where(long)
 

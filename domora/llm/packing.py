@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from domora.llm.bpe import MEMO, TreeEncoder, public_path
-from domora.llm.text import blocks, utf8
+from domora.llm.text import blocks, release, utf8
 from domora.session import materialise, table
 
 CAPACITY = 2048
@@ -112,7 +112,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        enc.memo = {}  # the worker lives on for other tasks
+        enc.memo = {}
+        release()  # the worker lives on for other tasks
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -7,6 +7,7 @@ Hashes have 64 bits; comparisons that rest on them alone can err with a chance o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,6 +39,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as a task's worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

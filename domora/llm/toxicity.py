@@ -114,15 +114,15 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 8) -> tuple[
     return q, rates, discount
 
 
-def logistic(x: np.ndarray, q: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on probabilities q by Newton steps."""
+def logistic(x: np.ndarray, q: np.ndarray, l2: float = 1.0, rounds: int = 25, constant: bool = True) -> tuple[np.ndarray, float]:
+    """(weights, bias) of ridge logistic regression on probabilities q by Newton steps; without constant the bias stays 0."""
     w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         curve, slope = np.diag(ridge), -ridge * w
         for a in range(0, len(x), ROWS):
-            part = np.column_stack([x[a : a + ROWS], np.ones(len(x[a : a + ROWS]))]).astype(float)
+            part = np.column_stack([x[a : a + ROWS], np.full(len(x[a : a + ROWS]), float(constant))]).astype(float)
             p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
             curve += (part.T * np.maximum(p * (1 - p), 1e-6)) @ part
             slope += part.T @ (q[a : a + ROWS] - p)

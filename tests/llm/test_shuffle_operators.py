@@ -146,7 +146,7 @@ def test_language_model(spark, corpus):
         condition = language.F.coalesce(~language.held_out(5, 1), language.F.lit(False)) & language.F.col("doc_id").isNotNull()
         got = mixing.language_model(table, condition).collect()
         assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
-        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got) and all(r["bits_per_byte"] > 0 for r in got)
     assert mixing.language_model(docs.limit(0), language.F.lit(True)).count() == 0
 
 
@@ -162,9 +162,71 @@ def test_language_model_reads_word_order(spark):
     assert got[100]["score"] > got[101]["score"] + 3  # in the order that was learned
 
 
-def test_coder_is_a_prefix_code():
-    code = mixing.coder(np.arange(256) ** 2)
-    assert abs(sum(2.0**-n for n in code.length) - 1) < 1e-9
+def test_huffman_is_a_prefix_code():
+    code = mixing.huffman(np.arange(256) ** 2)
+    assert abs(sum(2.0 ** -n for n in np.diff(code.begin)) - 1) < 1e-9
+    assert len({(tuple(code.node[a:b]), tuple(code.bit[a:b])) for a, b in zip(code.begin[:-1], code.begin[1:])}) == 256
+    assert len(mixing.huffman(np.array([5])).node) == 0
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    condition = ~language.held_out(5, 1)
+    got = [sorted(tuple(r) for r in mixing.language_model(d, condition).collect()) for d in (docs, docs.repartition(5, "text"))]
+    assert [r[0] for r in got[0]] == [r[0] for r in got[1]]
+    assert all(x[1:4] == y[1:4] and all(abs(u - w) < 1e-6 for u, w in zip(x[4:], y[4:])) for x, y in zip(*got))
+
+
+def brute_mixed(i, row, m):
+    """One text, one bit after the other."""
+    weights, cost, bits = m.weights.astype(float).copy(), 0.0, list(range(len(i.bit)))
+    tokens = [k for k in range(len(i.row)) if i.row[k] == row]
+    for r in sorted({i.round[k] for k in tokens}):
+        moves = np.zeros_like(weights)
+        for k in (k for k in tokens if i.round[k] == r):
+            for b in bits[i.begin[k] : i.begin[k + 1]]:
+                g = i.gate[k]
+                z = min(max(sum(float(x) * w for x, w in zip(i.x[b], weights[g])), -11.5), 11.5)
+                p = 1 / (1 + math.exp(-z))
+                at = min(max((z + 8) * 2, 0), 32 - 1e-4)
+                refined = m.refine[g, int(at)] * (1 - at % 1) + m.refine[g, int(at) + 1] * (at % 1)
+                chance = min(max((p + refined) / 2, 1e-6), 1 - 1e-6)
+                cost += math.log10(chance if i.bit[b] else 1 - chance)
+                moves[g] += mixing.RATE * i.x[b].astype(float) * (float(i.bit[b]) - p)
+        weights += moves
+    return cost
+
+
+def test_mixing_equals_brute_force():
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 6, 50)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    row, step, gate = np.repeat([0, 1], 25), np.tile(np.repeat([0, 1, 2], [9, 8, 8]), 2), rng.integers(0, mixing.GATES, 50)
+    order = np.lexsort((gate, row, step))
+    i = mixing.Inputs(rng.normal(0, 2, (begin[-1], mixing.INPUTS)).astype(np.float32), rng.integers(0, 2, begin[-1]).astype(np.uint8), begin, row[order], gate[order], step[order])
+    refine = rng.uniform(0.01, 0.99, (mixing.GATES, mixing.BUCKETS))
+    m = mixing.MixingModel(None, None, [], [], rng.normal(0.3, 0.1, (mixing.GATES, mixing.INPUTS)).astype(np.float32), refine, np.zeros((8, 6)))
+    got = mixing.mixed(i, 2, m)
+    assert np.allclose(got, [brute_mixed(i, r, m) for r in (0, 1)], rtol=1e-4)
+
+
+def test_word_path_probabilities_sum_to_one():
+    counts = np.array([50, 20, 9, 3, 1])
+    code = mixing.huffman(counts)
+    total = 0.0
+    for a, b in zip(code.begin[:-1], code.begin[1:]):
+        one = 1 / (1 + np.exp(-code.prior[code.node[a:b]].astype(float)))
+        total += np.prod(np.where(code.bit[a:b] == 1, one, 1 - one))
+    assert abs(total - 1) < 1e-6
+
+
+def test_known_copies_score_apart(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocab, 120)) for _ in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, texts[3]), (501, " ".join(rng.choice(vocab, 120)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mixing.language_model(docs, mixing.F.col("doc_id") < 500).where("doc_id >= 500").collect()}
+    assert got[500]["score"] > got[500]["base_score"] * 0.6 and got[501]["score"] < got[500]["score"] * 1.3
 
 
 def test_pipeline_stages(spark):
