@@ -186,13 +186,13 @@ def brute_mixed(i, row, m):
         for k in (k for k in tokens if i.round[k] == r):
             for b in bits[i.begin[k] : i.begin[k + 1]]:
                 g = i.gate[k]
-                z = min(max(sum(float(x) * w for x, w in zip(i.x[b], weights[g])), -11.5), 11.5)
+                z = min(max(sum(float(x) * w for x, w in zip(i.x[:, b], weights[g])), -11.5), 11.5)
                 p = 1 / (1 + math.exp(-z))
-                at = min(max((z + 8) * 2, 0), 32 - 1e-4)
+                at = min(max((z + 8) * 2, 0), 32 - 1e-3)
                 refined = m.refine[g, int(at)] * (1 - at % 1) + m.refine[g, int(at) + 1] * (at % 1)
                 chance = min(max((p + refined) / 2, 1e-6), 1 - 1e-6)
                 cost += math.log10(chance if i.bit[b] else 1 - chance)
-                moves[g] += mixing.RATE * i.x[b].astype(float) * (float(i.bit[b]) - p)
+                moves[g] += mixing.RATE * i.x[:, b].astype(float) * (float(i.bit[b]) - p)
         weights += moves
     return cost
 
@@ -203,7 +203,7 @@ def test_mixing_equals_brute_force():
     begin = np.concatenate([[0], np.cumsum(size)])
     row, step, gate = np.repeat([0, 1], 25), np.tile(np.repeat([0, 1, 2], [9, 8, 8]), 2), rng.integers(0, mixing.GATES, 50)
     order = np.lexsort((gate, row, step))
-    i = mixing.Inputs(rng.normal(0, 2, (begin[-1], mixing.INPUTS)).astype(np.float32), rng.integers(0, 2, begin[-1]).astype(np.uint8), begin, row[order], gate[order], step[order])
+    i = mixing.Inputs(rng.normal(0, 2, (mixing.INPUTS, begin[-1])).astype(np.float32), rng.integers(0, 2, begin[-1]).astype(np.uint8), begin, row[order], gate[order], step[order])
     refine = rng.uniform(0.01, 0.99, (mixing.GATES, mixing.BUCKETS))
     m = mixing.MixingModel(None, None, [], [], rng.normal(0.3, 0.1, (mixing.GATES, mixing.INPUTS)).astype(np.float32), refine, np.zeros((8, 6)))
     got = mixing.mixed(i, 2, m)
