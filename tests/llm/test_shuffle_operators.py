@@ -226,7 +226,7 @@ def test_known_copies_score_apart(spark):
     texts = [" ".join(rng.choice(vocab, 120)) for _ in range(120)]
     docs = spark.createDataFrame([*enumerate(texts), (500, texts[3]), (501, " ".join(rng.choice(vocab, 120)))], "doc_id long, text string")
     got = {r["doc_id"]: r for r in mixing.language_model(docs, mixing.F.col("doc_id") < 500).where("doc_id >= 500").collect()}
-    assert got[500]["score"] > got[500]["base_score"] * 0.6 and got[501]["score"] < got[500]["score"] * 1.3
+    assert got[500]["score"] > got[500]["base_score"] * 0.7 and got[501]["score"] < got[500]["score"] * 1.3
 
 
 def test_pipeline_stages(spark):
