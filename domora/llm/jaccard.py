@@ -445,12 +445,11 @@ def _payload(docs: DataFrame, wanted: DataFrame, rule: Rule, name: str, kind: st
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     def run(batches):
-        for batch in batches:
-            for block in blocks([batch.filter(pa.array(_may_hold(shared.value, batch.column("key").to_numpy(zero_copy_only=False))))]):
-                value, rows, n = shingles(block.column("text"), rule.n)
-                ends = np.searchsorted(rows, np.arange(n + 1))
-                found = pa.array([of(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([block.column("key"), found], names=["key", name])
+        for block in blocks(b.filter(pa.array(_may_hold(shared.value, b.column("key").to_numpy(zero_copy_only=False)))) for b in batches):
+            value, rows, n = shingles(block.column("text"), rule.n)
+            ends = np.searchsorted(rows, np.arange(n + 1))
+            found = pa.array([of(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([block.column("key"), found], names=["key", name])
 
     return docs.select("key", "text").mapInArrow(run, f"key long, {name} {kind}")
 

@@ -30,8 +30,8 @@ END_ID = 0
 GROUPS = 160
 #: Pieces that a shard of one length gets on average, at most.
 SHARD = 200_000
-#: UTF-8 of a space and the start of white space of any kind (the multi-byte ones by all but their last byte).
-_SPACE_PAIRS = [b" " + c for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")]
+#: UTF-8 of white space of any kind, or its start.
+_WHITE = [b" ", b"\t", b"\n", b"\v", b"\f", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _SPACE_STARTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
@@ -79,7 +79,7 @@ class ByteEncoder(TreeEncoder):
         A token can hold a space inside only among other white space. So a space starts a token if white space
         of any kind stands before it or after it, but not on both sides; a text's end counts as white space.
         """
-        if not text.endswith(b" ") and not any(x in text for x in _SPACE_PAIRS):
+        if not text.endswith(b" ") and not any(c in text and b" " + c in text for c in _WHITE):
             first, *rest = text.split(b" ")
             return ([first] if first else []) + [b" " + p for p in rest]
         return [p.encode() for p in _SPACE_STARTS.split(text.decode()) if p]

@@ -233,19 +233,18 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return _batch(["key", "pos", "n"], *_spans(key[later], pos[later], np.ones(later.sum(), np.int64)))
 
         held, size = [], 0
-        for batch in batches:
-            for part in blocks([batch], "body"):
-                held.append(part)
-                size += part.column("body").nbytes
-                if size < 2 * BLOCK_BYTES:
-                    continue
-                rows = pa.Table.from_batches(held)
-                core = rows.column("core").to_numpy()
-                edge = int(np.searchsorted(core, core[-1]))
-                if edge:
-                    yield settle(rows.slice(0, edge))
-                    held = rows.slice(edge).combine_chunks().to_batches()
-                    size = sum(b.column("body").nbytes for b in held)
+        for part in blocks(batches, "body"):
+            held.append(part)
+            size += part.column("body").nbytes
+            if size < 2 * BLOCK_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            core = rows.column("core").to_numpy()
+            edge = int(np.searchsorted(core, core[-1]))
+            if edge:
+                yield settle(rows.slice(0, edge))
+                held = rows.slice(edge).combine_chunks().to_batches()
+                size = sum(b.column("body").nbytes for b in held)
         if held:
             yield settle(pa.Table.from_batches(held))
 
