@@ -19,10 +19,14 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-def normalised(text: Column, compose: bool = False) -> Column:
-    """Lower case, runs of white space as one space, trimmed; null reads as empty."""
-    base = F.coalesce(nfc(text) if compose else text, F.lit(""))
-    return F.trim(F.regexp_replace(F.lower(base), r"(?U)\s+", " "))
+def composed(text: Column) -> Column:
+    """Unicode NFC; only texts with combining marks go to Python, which gets nulls for the others."""
+    return F.coalesce(nfc(F.when(text.rlike(r"\p{M}"), text)), text)
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, runs of white space as one space, trimmed; null reads as empty. Cleaning has composed the text."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
 
 
 def area_of(location: Column) -> Column:

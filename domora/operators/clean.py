@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from domora.functions import config as C
 from domora.functions.numeric import number
-from domora.functions.text import area_of
+from domora.functions.text import area_of, composed
 
 NUMERIC = ["price", "area", *C.OPTIONAL_RANGES, "latitude", "longitude"]
 DATE_FORMAT = "d/M/yyyy H:m"
@@ -55,9 +55,23 @@ def dates(df: DataFrame) -> DataFrame:
     return out.withColumn("temporal_status", status).drop("_own")
 
 
+def sourced(raw: DataFrame) -> DataFrame:
+    """source and listing_id: a source_id or source_listing_id column goes before them, absent ones are null."""
+    out = {}
+    for c, first in (("source", "source_id"), ("listing_id", "source_listing_id")):
+        own = next((x for x in (first, c) if x in raw.columns), None)
+        out[c] = F.col(own).cast("string") if own else F.lit(None).cast("string")
+    return raw.withColumns(out).drop("source_id", "source_listing_id")
+
+
+def with_composed(rows: DataFrame) -> DataFrame:
+    """Addresses and sources in composed Unicode, so that equal ones are equal strings."""
+    return rows.withColumns({c: composed(F.col(c)) for c in ("location", "source") if c in rows.columns})
+
+
 def tagged(raw: DataFrame) -> DataFrame:
     """All rows with reject_reason, coerced numbers, district and dates, in one pass."""
-    out = coerce(raw).withColumn("reject_reason", reject_reason())
+    out = with_composed(sourced(coerce(raw))).withColumn("reject_reason", reject_reason())
     return dates(valid_coordinates(out.withColumn("location_area", area_of(F.col("location")))))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domora.functions import config as C
@@ -75,8 +76,20 @@ class PriceModel:
         return scored.select(*frame.columns, F.greatest(F.expm1("log_prediction"), F.lit(0.0)).alias("prediction"))
 
     def save(self, path: str) -> None:
+        """state (name, constant, context, imputation) and stages under path."""
+        state = {"name": self.name, "constant": self.constant, "context": asdict(self.context), "imputation": asdict(self.imputation), "staged": self.stages is not None}
+        SparkSession.active().createDataFrame([(json.dumps(state, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
         if self.stages is not None:
-            self.stages.write().overwrite().save(path)
+            self.stages.write().overwrite().save(f"{path}/stages")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PriceModel:
+        state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        context, filled = state["context"], state["imputation"]
+        stages = PipelineModel.load(f"{path}/stages") if state["staged"] else None
+        return PriceModel(
+            state["name"], FeatureContext(**context | {"centre": tuple(context["centre"])}), Imputation(**filled | {"with_indicator": tuple(filled["with_indicator"])}), stages, state["constant"]
+        )
 
 
 def fit(name: str, train: DataFrame, trees: int = 60, depth: int = 8) -> PriceModel:

@@ -12,18 +12,26 @@ from domora.operators import comparables, metrics
 STALE_DAYS, WIDE_INTERVAL, LEAST_COMPLETENESS = 180, 0.8, 60
 
 
+def dated(requests: DataFrame) -> DataFrame:
+    """as_of as a timestamp and bad_as_of; a request without a date is of today in the city, text that is no date is bad."""
+    c = F.col("as_of")
+    given = F.try_to_timestamp(c) if dict(requests.dtypes)["as_of"] == "string" else c.cast("timestamp")
+    today = F.expr("cast(to_date(convert_timezone(current_timezone(), 'Asia/Ho_Chi_Minh', cast(now() as timestamp_ntz))) as timestamp)")
+    return requests.withColumns({"bad_as_of": c.isNotNull() & given.isNull(), "as_of": F.when(c.isNull(), today).otherwise(given)})
+
+
 def rejections(requests: DataFrame, types: list[str], areas: list[str]) -> DataFrame:
-    """requests with reasons: why a request is not scored (empty if it is)."""
+    """requests with reasons (why a request is not scored; empty if it is) and as_of as a timestamp."""
     checks = [
         F.when(F.col("property_type").isNull() | ~F.col("property_type").isin(types), "unsupported_property_type"),
         F.when(F.col("location_area").isNull() | ~F.col("location_area").isin(areas), "unsupported_area"),
         F.when(F.col("area").isNull() | F.isnan("area") | ~F.col("area").between(*C.AREA_RANGE), "area_out_of_range"),
-        F.when(F.col("as_of").isNull(), "bad_as_of"),
+        F.when(F.col("bad_as_of"), "bad_as_of"),
     ]
     for c, (lo, hi) in C.OPTIONAL_RANGES.items():
         strict = F.col(c) <= 0 if c in ("width", "length") else F.lit(False)
         checks.append(F.when(F.isnan(c) | (~F.col(c).between(0 if c in ("width", "length") else lo, hi)) | strict, f"{c}_out_of_range"))
-    return requests.withColumn("reasons", F.array_compact(F.array(*checks)))
+    return dated(requests).withColumn("reasons", F.array_compact(F.array(*checks))).drop("bad_as_of")
 
 
 def missing_fields() -> Column:
@@ -48,6 +56,7 @@ def warnings(ranges: dict[str, tuple[float, float]], reference_date: str, as_of:
     return F.array_compact(F.array(*out))
 
 
+# Display labels of features.
 FRIENDLY = {
     "area": "Diện tích đất (Area)", "bedrooms": "Số phòng ngủ", "bathrooms": "Số phòng vệ sinh", "floors": "Số tầng", "width": "Chiều rộng mặt tiền", "length": "Chiều dài",
     "alley_width": "Độ rộng hẻm", "distance_to_cbd_km": "Khoảng cách tới Quận 1 (CBD)", "days_from_train_reference": "Thời gian đăng tin", "input_completeness_score": "Độ đầy đủ thông tin",

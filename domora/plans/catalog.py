@@ -11,7 +11,7 @@ from domora.functions import config as C
 from domora.functions.geo import floor_days
 from domora.functions.text import area_of, street_of, text_flags, ward_of
 from domora.operators import clean, comparables, features, identity, metrics, model, scoring, segments, split
-from domora.plans import oracle
+from domora.plans import oracle, training
 from domora.session import materialise, shared_dir
 from domora.sources.listings import adapted_listings, reference_export
 from domora.streaming import jobs
@@ -68,11 +68,11 @@ def missing_rates(spark, sf):
 
 
 def area_extraction(spark, sf):
-    return adapted_listings(spark, sf).groupBy(area_of(F.col("location")).alias("location_area")).agg(F.count("*").alias("n"))
+    return clean.with_composed(adapted_listings(spark, sf)).groupBy(area_of(F.col("location")).alias("location_area")).agg(F.count("*").alias("n"))
 
 
 def location_components(spark, sf):
-    rows = adapted_listings(spark, sf).select(area_of(F.col("location")).alias("area_key"), ward_of(F.col("location")).alias("ward"), street_of(F.col("location")).alias("street"))
+    rows = clean.with_composed(adapted_listings(spark, sf)).select(area_of(F.col("location")).alias("area_key"), ward_of(F.col("location")).alias("ward"), street_of(F.col("location")).alias("street"))
     return rows.groupBy("area_key", "ward").agg(F.count("*").alias("n"), F.count_distinct("street").alias("streets"), F.max("street").alias("last_street"))
 
 
@@ -131,6 +131,11 @@ def event_dedup(spark, sf):
     return clean.without_copies(identity.grouped(_valid(spark, sf))).select("ingest_key", "property_type", "listing_date", "price")
 
 
+def dedup_funnel(spark, sf):
+    raw = adapted_listings(spark, sf)
+    return training.data_summary(raw, training.cleaned(raw))
+
+
 def _grouped_rows(spark, sf):
     rows = _valid(spark, sf)
     return rows.select("ingest_key", "listing_date").join(identity.resolve(rows).select("ingest_key", "group_key"), "ingest_key")
@@ -221,9 +226,10 @@ def comparable_benchmark(spark, sf):
 
 
 def _requests(spark, sf) -> DataFrame:
-    """All listings as scoring requests, dated by their listing."""
-    rows = clean.dates(clean.coerce(adapted_listings(spark, sf))).withColumn("location_area", area_of(F.col("location")))
-    return rows.withColumns({"query_id": F.col("ingest_key"), "as_of": F.col("listing_date")})
+    """All listings as scoring requests, dated by their listing; some dates are missing, some are no dates."""
+    rows = clean.dates(clean.coerce(clean.with_composed(adapted_listings(spark, sf)))).withColumn("location_area", area_of(F.col("location")))
+    day = F.when(F.col("bedrooms") == 3, "2025-02-30").otherwise(F.date_format("listing_date", "yyyy-MM-dd"))
+    return rows.withColumns({"query_id": F.col("ingest_key"), "as_of": day})
 
 
 def request_validation(spark, sf):
@@ -290,6 +296,11 @@ def _open_requests(rows: DataFrame) -> DataFrame:
     return _between(rows, oracle.CUTS[2], None).withColumns({"query_id": F.col("ingest_key"), "as_of": F.col("listing_date")})
 
 
+def training_run(spark, sf):
+    """The whole job from raw listings to the test report of the selected model and both baselines."""
+    return training.run(adapted_listings(spark, sf), candidates=("naive_median", "ridge_linear"))
+
+
 def batch_scoring(spark, sf):
     rows = _columns(_valid(spark, sf))
     return _scorer(rows)(_open_requests(rows))
@@ -323,10 +334,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         market_scope_filter, date_provenance, gps_validation, quality_funnel, missing_rates, area_extraction, location_components, property_signature, document_flags,
-        completeness_flags, time_offset, cbd_distance, feature_frame, identity_pairs, identity_groups, identity_audit, event_dedup, temporal_split, split_summary, event_split,
+        completeness_flags, time_offset, cbd_distance, feature_frame, identity_pairs, identity_groups, identity_audit, event_dedup, dedup_funnel, temporal_split, split_summary, event_split,
         naive_baseline, segment_medians, segment_unit_prices, segment_predictions, percentiles, comparable_context, training_ranges, regression_metrics, interval_metrics,
         slice_analysis, conformal_quantile, comparables_topk, comparable_summary, comparable_benchmark, request_validation, prediction_warnings, missing_fields, export_reference,
-        refit_rows, model_selection, batch_scoring, contributions, stream_dedup, stream_scoring,
+        refit_rows, model_selection, training_run, batch_scoring, contributions, stream_dedup, stream_scoring,
     )
 } | {"text_flags": flags, "ridge_scores": _scores("ridge_linear"), "forest_scores": _scores("forest")}
 ORACLE_SQL = oracle.SQL

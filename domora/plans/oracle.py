@@ -15,7 +15,7 @@ LEXICON = {"reported": ["the", "der", "les"], "legal": ["license", "apache"], "e
 NEGATION = r"(?:not|nicht|pas)\s+"
 QUANTILE = 0.5
 
-_TEXT = r"trim(regexp_replace(lower(coalesce(location, '')), '\s+', ' ', 'g'))"
+_TEXT = r"trim(regexp_replace(lower(nfc_normalize(coalesce(location, ''))), '\s+', ' ', 'g'))"
 _AREA = (
     "case when contains(loc, 'quận 2') or contains(loc, 'quận 9') or contains(loc, 'thủ đức') then 'TP. Thủ Đức' "
     r"when regexp_extract(loc, 'quận\s+(1[0-2]|[1-8])(?:[^0-9]|$)', 1) <> '' then 'Quận ' || regexp_extract(loc, 'quận\s+(1[0-2]|[1-8])(?:[^0-9]|$)', 1) "
@@ -166,7 +166,7 @@ _REQUEST = [
     f"case when property_type is null or property_type not in ({_TYPES}) then 'unsupported_property_type' end",
     f"case when location_area not in ({', '.join(repr(a) for a in REQUEST_AREAS)}) then 'unsupported_area' end",
     "case when area is null or not (area between 5 and 500) then 'area_out_of_range' end",
-    "case when listing_date is null then 'bad_as_of' end",
+    "case when bedrooms = 3 then 'bad_as_of' end",
     *(f"case when not ({c} between {0 if c in ('width', 'length') else lo} and {hi}){f' or {c} <= 0' if c in ('width', 'length') else ''} then '{c}_out_of_range' end" for c, (lo, hi) in C.OPTIONAL_RANGES.items()),
 ]
 _FIELDS = ", ".join(f"case when {c} is null{f' or {c} = {C.UNKNOWN_VALUE!r}' if c in ('direction', 'position') else ''} then '{c}' end" for c in C.QUALITY_COLUMNS)
@@ -177,6 +177,13 @@ _WARN = ", ".join(
        "case when (upper - lower) / greatest(prediction, 1.0) > 0.8 then 'WIDE_PREDICTION_INTERVAL' end"]
 )
 
+#: Valid rows without copies, with their groups.
+_KEPT = (
+    f"{IDENTITY}, u as (select min(ingest_key) as ingest_key from valid group by property_type, location, price, area, bedrooms, bathrooms, floors, width, length, alley_width, direction, position, road_type, latitude, longitude, listing_date, observed_at, date_source, source, listing_id, title, description, supplied_furniture), "
+    "e as (select v.*, g.group_key, g.possible_duplicate, case when trim(listing_id) <> '' then source || ':' || trim(listing_id) else group_key || ':' || coalesce(strftime(listing_date, '%Y-%m-%d %H:%M:%S'), 'NaT') || ':' || round(price, 2)::decimal(20, 2)::varchar end as event from valid v join u using (ingest_key) join groups g on g.ingest_key = v.ingest_key), "
+    "kept as (select * from (select *, row_number() over (partition by event order by ingest_key) as nth from e) where nth = 1)"
+)
+
 SQL = {
     "market_scope_filter": f"{BASE} select property_type, count(*) as n, round(avg(price), 2) as mean_price from listings where property_type in ({_TYPES}) group by 1",
     "date_provenance": f"{BASE} select date_source, temporal_status, listing_date_missing, count(*) as n, min(listing_date) as first_date from valid group by 1, 2, 3",
@@ -195,9 +202,11 @@ SQL = {
     "identity_pairs": f"{IDENTITY} select a, b from pairs where level = 'strong'",
     "identity_groups": f"{IDENTITY} select ingest_key, group_key, group_size, case when group_size > 1 then 'strong' when possible_duplicate then 'weak' else 'singleton' end as identity_confidence, possible_duplicate from groups",
     "identity_audit": f"{IDENTITY}, s as (select group_key, count(*) as n from groups group by 1) select (select count(*) from s) as groups, (select count(*) from s where n > 1) as multi_listing_groups, (select max(n) from s) as largest_group, (select count(*) from pairs where level = 'strong') as strong_pairs, (select count(*) from keys) as key_links, (select count(*) from pairs where level = 'medium') as medium_pairs, (select count(*) from pairs where level = 'weak') as weak_pairs",
-    "event_dedup": f"{IDENTITY}, u as (select min(ingest_key) as ingest_key from valid group by property_type, location, price, area, bedrooms, bathrooms, floors, width, length, alley_width, direction, position, road_type, latitude, longitude, listing_date, observed_at, date_source, source, listing_id, title, description, supplied_furniture), "
-    "e as (select v.*, case when trim(listing_id) <> '' then source || ':' || trim(listing_id) else group_key || ':' || coalesce(strftime(listing_date, '%Y-%m-%d %H:%M:%S'), 'NaT') || ':' || round(price, 2)::decimal(20, 2)::varchar end as event from valid v join u using (ingest_key) join groups g on g.ingest_key = v.ingest_key) "
-    "select ingest_key, property_type, listing_date, price from (select *, row_number() over (partition by event order by ingest_key) as nth from e) where nth = 1",
+    "event_dedup": f"{_KEPT} select ingest_key, property_type, listing_date, price from kept",
+    "dedup_funnel": f"{_KEPT}, n as (select group_key, count(*) as n from kept group by 1), c as (select (select count(*) from tagged) as rows_raw, (select count(*) from valid) as rows_valid, (select count(*) from kept) as rows_clean) "
+    "select rows_raw, rows_valid, (select count(*) from tagged where reject_reason = 'unsupported_property_type') as unsupported_property_type, (select count(*) from tagged where reject_reason = 'numeric_or_price_outliers') as numeric_or_price_outliers, "
+    "rows_clean, (select count(*) from n) as unique_property_groups, (select count(*) from n where n > 1) as multi_listing_groups, (select count(*) from kept where temporal_status = 'unknown') as unknown_temporal_rows, "
+    "(select count(*) from kept where possible_duplicate) as possible_duplicate_rows, rows_valid - rows_clean as exact_duplicate_listings, round((rows_valid - rows_clean) / greatest(rows_raw, 1) * 100, 2) as duplicate_listing_percent from c",
     "temporal_split": f"{IDENTITY}, dated as (select g.group_key, v.listing_date from valid v join groups g using (ingest_key)), {_split('dated', 'group_key', 'listing_date')} select g as group_key, latest, split from parts",
     "split_summary": f"{IDENTITY}, dated as (select g.group_key, v.listing_date from valid v join groups g using (ingest_key)), {_split('dated', 'group_key', 'listing_date')} select * from sums",
     "event_split": f"with {_split('events', 'user_id', 'ts')} select * from sums",

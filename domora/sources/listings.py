@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ ADAPTER = """
 select concat_ws('-', cast(l.l_orderkey as varchar(20)), cast(l.l_linenumber as varchar(20)), cast(l.l_partkey as varchar(20)), cast(l.l_suppkey as varchar(20))) as base_key,
   case p.p_type when 'ECONOMY' then 'Nhà riêng' when 'SMALL' then 'Nhà mặt tiền' when 'STANDARD' then 'Căn hộ chung cư' when 'MEDIUM' then 'Biệt thự liền kề' when 'LARGE' then 'Nhà biệt thự' else 'Đất nền' end as property_type,
   concat(cast(1 + l.l_partkey % 900 as varchar(20)), case when l.l_suppkey % 3 = 0 then ' Số ' else ' Đường Số ' end, cast(l.l_suppkey % 40 as varchar(20)), ', Phường ', cast(l.l_partkey % 97 as varchar(20)),
-    case s.s_nationkey % 8 when 0 then ', Quận 1' when 1 then ', QUẬN  3' when 2 then ', Quận 9' when 3 then ', Quận 12' when 4 then ', Gò Vấp' when 5 then ', Củ Chi' when 6 then ', Thủ Đức' else ', Long An' end, ', TP.HCM') as location,
+    case s.s_nationkey % 8 when 0 then ', Quận 1' when 1 then ', QUẬN  3' when 2 then ', Quận 9' when 3 then ', Quận 12' when 4 then case when l.l_linenumber = 3 then ', {decomposed}' else ', Gò Vấp' end when 5 then ', Củ Chi' when 6 then ', Thủ Đức' else ', Long An' end, ', TP.HCM') as location,
   l.l_extendedprice / 2 as price,
   cast(4 + p.p_size * 6 + l.l_partkey % 11 + l.l_orderkey % 3 as double) as area,
   case when l.l_partkey % 5 <> 0 then cast(1 + l.l_partkey % 11 as double) end as bedrooms,
@@ -62,7 +63,7 @@ select concat_ws('-', cast(l.l_orderkey as varchar(20)), cast(l.l_linenumber as
   case l.l_orderkey % 6 when 0 then 'nhà không có nội thất, gần chợ' when 1 then 'full nội thất, gần trường' when 2 then 'chưa được ô tô vào' when 3 then 'ô tô vào tận nơi, sát chợ' when 4 then '' end as description,
   cast(l.l_orderkey % 2 as double) as supplied_furniture
 from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey join {part} p on p.p_partkey = l.l_partkey join {supplier} s on s.s_suppkey = l.l_suppkey
-"""
+""".replace("{decomposed}", unicodedata.normalize("NFD", "Gò Vấp"))
 #: Rows of some orders stand twice, to be found as exact copies.
 WITH_COPIES = "select concat(base_key, '-', cast(copy as varchar(20))) as ingest_key, a.* from (select x.*, c.copy from adapted x cross join (select 0 as copy union all select 1 as copy) c where c.copy = 0 or x.base_key like '%50-1-%') a"
 
