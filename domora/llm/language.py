@@ -20,8 +20,8 @@ from domora.llm.text import LOWER, SEPARATOR, blocks, utf8, words
 from domora.session import table
 
 BUCKETS = 1 << 15
-#: Most languages that are learned, the most frequent first; bounds the table that tasks get.
-MAX_LANGUAGES = 64
+#: Languages that may be learned; bounds the table that tasks get to 32 MB. More raise an error, none is left out.
+MAX_LANGUAGES = 256
 ROUNDS = 12
 UNDEFINED = "und"
 _CHUNK = 1024
@@ -29,15 +29,20 @@ _CHUNK = 1024
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bucket of the byte trigram that ends at each byte; texts begin and end with a space."""
-    low = np.where(SEPARATOR[raw], np.uint8(32), LOWER[raw]).astype(np.uint32)
-    one, two = np.full(len(low), 32, np.uint32), np.full(len(low), 32, np.uint32)
+    low = np.where(SEPARATOR[raw], np.uint8(32), LOWER[raw])
+    one, two = np.full(len(low), 32, np.uint8), np.full(len(low), 32, np.uint8)
     one[1:], two[2:] = low[:-1], low[:-2]
     begin = offsets[:-1][offsets[1:] > offsets[:-1]]
     one[begin] = two[begin] = 32
     second = begin + 1
     two[second[second < len(low)]] = 32
-    key = (two << np.uint32(16)) | (one << np.uint32(8)) | low
-    return ((key * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int64)
+    key = two.astype(np.uint32)
+    for byte in (one, low):
+        key <<= np.uint32(8)
+        key |= byte
+    key *= np.uint32(2654435761)
+    key >>= np.uint32(32 - 15)
+    return key.astype(np.uint16)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +54,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = grams(raw, offsets)
         langs = block.column("lang").to_pylist()
         codes = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        row = np.repeat(np.array([codes[x] for x in langs]), np.diff(offsets))
+        row = np.repeat(np.array([codes[x] for x in langs], np.int64), np.diff(offsets))
         tally = np.bincount(row * BUCKETS + found, minlength=len(codes) * BUCKETS).reshape(len(codes), BUCKETS)
         for lang, i in codes.items():
             held[lang] = held.get(lang, 0) + tally[i]
@@ -68,7 +73,10 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame) -> LanguageModel:
-    """Learn from the texts and languages of docs; rows where either is null count nothing."""
+    """Learn from the texts and languages of docs; rows where either is null count nothing, repeated rows count each.
+
+    An empty table gives a model without languages; more languages than MAX_LANGUAGES raise ValueError.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     parts = rows.mapInArrow(_counted, "lang string, part int, counts array<long>")
     # element-wise sums without exploding: one aggregate column for each place of a chunk's halves would be wide, so explode
@@ -79,12 +87,13 @@ def fit(docs: DataFrame) -> LanguageModel:
         .agg(F.sum("n").alias("n"))
     )
     totals = sums.groupBy("lang").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("all"))
-    top = totals.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    top = totals.select("lang", F.col("all.bucket").alias("buckets"), F.col("all.n").alias("counts")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(top) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     top.sort(key=lambda r: r["lang"])
     out = np.zeros((BUCKETS, max(1, len(top))))
     for j, r in enumerate(top):
-        cells = np.array([(x["bucket"], x["n"]) for x in r["all"]], np.int64)
-        out[cells[:, 0], j] = cells[:, 1]
+        out[np.array(r["buckets"], np.int64), j] = r["counts"]
     out = np.log((out + 0.05) / (out.sum(axis=0) + 0.05 * BUCKETS))
     return LanguageModel(tuple(r["lang"] for r in top), out.astype(np.float32))
 
@@ -126,10 +135,11 @@ def mixtures(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.nda
     start, end, row = words(raw, offsets)
     if not len(start) or not k:
         return np.full((n, max(1, k)), 1 / max(1, k)), letters
-    sums = np.zeros((len(raw) + 1, k), np.float64)
-    np.cumsum(model.table[grams(raw, offsets)], axis=0, out=sums[1:])
-    # a word's n-grams end at its bytes and at the byte after it
-    like = sums[np.minimum(end + 1, offsets[row + 1])] - sums[start]
+    found, stop = grams(raw, offsets), np.minimum(end + 1, offsets[row + 1])
+    like, sums = np.empty((len(start), k)), np.zeros(len(raw) + 1)
+    for j in range(k):  # one language at a time: memory beside the words does not grow with languages
+        np.cumsum(np.ascontiguousarray(model.table[:, j])[found], dtype=np.float64, out=sums[1:])
+        like[:, j] = sums[stop] - sums[start]  # a word's n-grams end at its bytes and at the byte after it
     like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -25)).astype(np.float32)
     alive = np.ones((n, k))
     share, total = _em(like, row, alive, n, ROUNDS)
@@ -156,9 +166,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (the share of that language) and the shares of all languages of the set.
 
     Null texts and texts without a letter are `und` with score 0; so is every text if nothing was learned.
-    Only doc_id and text are read.
+    Of equal shares the first language by name is predicted; repeated rows are judged each; an empty table gives
+    none. Only doc_id and text are read, whatever other columns are called. A very long text is held by one task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets floats, at most 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats, at most 32 MB
 
     def run(batches):
         held = shared.value

@@ -80,6 +80,72 @@ def test_language_mixture_finds_both(spark):
     assert set(shares) == {"en", "de"} and all(0.3 < s < 0.7 for s in shares.values())
 
 
+def brute_mixture(model, text):
+    """Shares of the languages by EM over words, one word and one language at a time."""
+    low = [32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    before = [32, 32, *low]
+    gram = [(((before[i] << 16 | before[i + 1] << 8 | low[i]) * 2654435761) % 2**32) >> 17 for i in range(len(low))]
+    spans, start = [], None
+    for i, b in enumerate([*low, 32]):
+        if b != 32 and start is None:
+            start = i
+        elif b == 32 and start is not None:
+            spans.append((start, min(i + 1, len(low))))
+            start = None
+    k = len(model.langs)
+    like = []
+    for a, b in spans:
+        sums = [sum(float(model.table[g, j]) for g in gram[a:b]) for j in range(k)]
+        like.append([math.exp(max(x - max(sums), -25)) for x in sums])
+
+    def em(alive, rounds):
+        share = [1 / len(alive) if j in alive else 0.0 for j in range(k)]
+        for _ in range(rounds):
+            got = [0.0] * k
+            for word in like:
+                total = sum(x * s for x, s in zip(word, share))
+                for j in alive:
+                    got[j] += word[j] * share[j] / max(total, 1e-30)
+            share = [x / sum(got) for x in got]
+        return share, sum(math.log(max(sum(x * s for x, s in zip(word, share)), 1e-30)) for word in like)
+
+    alive, penalty = set(range(k)), 0.5 * math.log(max(len(like), 2)) + 1
+    share, total = em(alive, language.ROUNDS)
+    while len(alive) > 1:
+        fewer = alive - {min(sorted(alive), key=lambda j: share[j])}
+        less, lower = em(fewer, 4)
+        if lower + penalty < total:
+            break
+        alive, share, total = fewer, less, lower
+    return share
+
+
+def test_language_mixture_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    counted = Counter()
+    for r in docs.where("text is not null and lang is not null").collect():
+        counted[r["lang"]] += len(r["text"].encode())
+    assert model.langs == tuple(sorted(counted))
+    rows = [(r["doc_id"], " ".join(r["text"].split()[:40])) for r in docs.where("text is not null").orderBy("doc_id").limit(40).collect()]
+    rows += [(10_000 + i, a[1] + " " + b[1]) for i, (a, b) in enumerate(zip(rows[::2], rows[1::2], strict=True))]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, lang_pred int")
+    got = {r["doc_id"]: {m["lang"]: m["share"] for m in r["mixture"]} for r in language.identify(frame, model).collect()}
+    for i, text in rows:
+        if any(c.isalpha() for c in text):
+            want = brute_mixture(model, text)
+            assert all(abs(got[i].get(lang, 0.0) - w) < 1e-3 for lang, w in zip(model.langs, want, strict=True)), (i, got[i], want)
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    docs = spark.createDataFrame([("text of one", "a"), ("text of two", "b"), ("text of three", "c")], "text string, lang string")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    assert language.fit(docs).langs == ("a", "b", "c")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs)
+
+
 def library(name):
     from tokenizers import Tokenizer
 
@@ -199,6 +265,16 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors, 10).count() == 0
 
 
+def test_top_k_of_several_lengths(spark):
+    """Every query meets the vectors of its own length; repeated ids and clashing columns stay."""
+    rng = np.random.default_rng(3)
+    body = [(i, rng.integers(-9, 9, 2 + i % 3).tolist()) for i in range(60)] + [(60, [1, 1])] * 2
+    vectors = spark.createDataFrame([(i, [int(x) for x in v], 1.0) for i, v in body], "vec_id long, v array<long>, score double")
+    asked = [(i, v) for i, v in body if i < 9]
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id < 9").select("vec_id", "v"), 4).collect())
+    assert got == brute_top(body, asked, 4)
+
+
 def test_quantised_leaves_out_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.5, -0.0001], 7), (2, None, 7), (3, [nan, 1.0], 7), (4, [None, 1.0], 7), (5, [inf, 1.0], 7), (None, [1.0, 1.0], 7)]
