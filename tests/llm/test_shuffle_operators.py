@@ -124,14 +124,117 @@ def test_toxicity(spark, corpus):
     assert len(found) == len(rows) and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in found)
 
 
-def test_label_model_discounts_repeated_voters():
+def test_label_model_counts_repeated_voters_once():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
     votes = np.stack([np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.1) for _ in range(4)], axis=1).astype(float)
     votes = np.column_stack([votes, votes[:, 0], votes[:, 0]])
-    q, rates, discount = toxicity.label_model(votes, votes[:, 1], rounds=60)
-    assert ((q > 0.5) == y).mean() > 0.9 and abs(rates[1, 1] - 0.8) < 0.1
-    assert discount[0] < 0.5 < discount[1]
+    q, model = toxicity.label_model(votes, votes[:, 1], 0.3, rounds=60)
+    assert ((q > 0.5) == y).mean() > 0.9 and abs(model.rates[1, 1] - 0.8) < 0.1
+    # the copies of voter 0 hang on one another, and what a copy adds to the odds is nothing where its parent fires
+    tied = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
+    assert len([t for t in tied if t <= {0, 4, 5}]) == 2
+    alone, thrice = np.zeros((1, 6)), np.zeros((1, 6))
+    alone[0, 1] = thrice[0, [0, 4, 5]] = 1
+    assert abs(toxicity.log_odds(alone, model) - toxicity.log_odds(thrice, model))[0] < 0.5
+
+
+def brute_label_model(votes, start, prior, rounds):
+    """The same EM in plain Python: a forest of correlations by Prim's rule, and products of probabilities."""
+    n, m, q = len(votes), len(votes[0]), list(start)
+    mean = [min(max(sum(v[j] for v in votes) / n, 0.5 / (n + 1)), 1 - 0.5 / (n + 1)) for j in range(m)]
+    for _ in range(rounds):
+        w = [[1 - x for x in q], q]
+        size = [sum(x) for x in w]
+        once = [[sum(x for x, v in zip(w[y], votes) if v[j]) for j in range(m)] for y in (0, 1)]
+        pair = [[[sum(x for x, v in zip(w[y], votes) if v[i] and v[j]) for j in range(m)] for i in range(m)] for y in (0, 1)]
+        rate = [[(once[y][j] + mean[j]) / (size[y] + 1) for j in range(m)] for y in (0, 1)]
+
+        def gain(i, j):
+            total = 0
+            for y in (0, 1):
+                p, a, b = (pair[y][i][j] + mean[i] * mean[j]) / (size[y] + 1), rate[y][i], rate[y][j]
+                for c, e in ((p, a * b), (a - p, a * (1 - b)), (b - p, (1 - a) * b), (1 - a - b + p, (1 - a) * (1 - b))):
+                    total += size[y] / n * max(c, 1e-9) * math.log(max(c, 1e-9) / max(e, 1e-9))
+            return total
+
+        parent, left, done = [-1] * m, set(range(1, m)), [0]
+        while left:
+            g, _, i, j = max((gain(i, j), -j, i, j) for i in done for j in left)
+            parent[j] = i if n * g > math.log(n) else -1
+            left.remove(j)
+            done.append(j)
+        out = []
+        for v in votes:
+            odds = math.log(prior / (1 - prior))
+            for j, p in enumerate(parent):
+                both = []
+                for y in (0, 1):
+                    if p < 0:
+                        x = rate[y][j]
+                    elif v[p]:
+                        x = (pair[y][j][p] + rate[y][j]) / (once[y][p] + 1)
+                    else:
+                        x = (once[y][j] - pair[y][j][p] + rate[y][j]) / (size[y] - once[y][p] + 1)
+                    both.append(x if v[j] else 1 - x)
+                odds += math.log(both[1] / both[0])
+            out.append(1 / (1 + math.exp(-odds)))
+        q = out
+    return q
+
+
+def test_label_model_equals_brute_force():
+    rng = np.random.default_rng(5)
+    y = rng.random(200) < 0.4
+    votes = np.stack([np.where(y, rng.random(200) < hi, rng.random(200) < lo) for hi, lo in ((0.7, 0.1), (0.6, 0.2), (0.5, 0.05), (0.3, 0.3))], axis=1).astype(float)
+    votes = np.column_stack([votes, np.where(rng.random(200) < 0.9, votes[:, 0], votes[:, 1])])
+    start = np.where(votes.sum(1) > 1, 0.9, 0.1)
+    got, _ = toxicity.label_model(votes, start, 0.4, rounds=5)
+    assert np.allclose(got, brute_label_model(votes.astype(int).tolist(), start.tolist(), 0.4, 5), atol=1e-6)
+
+
+def test_pattern_voters_read_the_text(monkeypatch):
+    import pyarrow as pa
+
+    def plain(text):
+        raw, offsets = toxicity.utf8(pa.array([text]))
+        return toxicity.entries(raw, offsets, len(raw))[0]
+
+    lexicon = np.unique(plain("idiot"))
+    look = lambda texts: toxicity.hits(pa.array(texts, pa.string()), lexicon, np.zeros(len(lexicon), np.int64), 1)
+    texts = ["an idiot.", "an id1ot!", "i.d.i.o.t", "idiooot", "so i d i o t yes", "i d o", "IDIOTS ARE SHOUTING LOUDLY", "what?! no", None, "", "plain words", "1000 2000 idio", "ID1OT"]
+    found, stats = look(texts)
+    votes = toxicity.votes(found, stats)
+    names = {k: i + 1 for i, k in enumerate(toxicity.PATTERNS)}
+    fires = lambda k: [t for t, v in zip(texts, votes[:, names[k]], strict=True) if v]
+    assert fires("disguised") == ["an id1ot!", "i.d.i.o.t", "idiooot", "ID1OT"] and fires("spaced") == ["so i d i o t yes"]
+    assert fires("shouts") == ["IDIOTS ARE SHOUTING LOUDLY"] and fires("marks") == ["what?! no"] and fires("calm") == []
+    assert [t for t, v in zip(texts, votes[:, 0], strict=True) if v] == ["an idiot.", "an id1ot!", "i.d.i.o.t", "idiooot", "so i d i o t yes", "IDIOTS ARE SHOUTING LOUDLY", "1000 2000 idio", "ID1OT"]
+    # a long text in parts reads as in one
+    rng = np.random.default_rng(2)
+    long = " ".join(rng.choice(["idiot", "id1ot", "word!!", "Other", "\n", "x", "y" * 300], 4000))
+    whole = look([long])
+    monkeypatch.setattr(toxicity, "PART_BYTES", 1000)
+    parts = look([long])
+    assert (whole[0] == parts[0]).all() and (whole[1][:, :6] == parts[1][:, :6]).all()
+    raw, offsets = toxicity.utf8(pa.array([long]))
+    cut = np.concatenate([toxicity.entries(*p)[0] for p in toxicity.pieces(raw, offsets)])
+    assert (np.sort(cut) == np.sort(plain(long))).all()
+
+
+def test_toxicity_of_odd_tables(spark, corpus):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit(docs.withColumn("toxic", toxicity.F.lit(9)).withColumn("mark", toxicity.F.lit("x")), labels)
+    twice = toxicity.fit(docs.unionByName(docs).repartition(3), labels.unionByName(labels))
+    assert (model.lexicon == twice.lexicon).all() and np.allclose(model.weights, twice.weights) and np.isclose(model.bias, twice.bias)
+    frame, rows = corpus
+    named = frame.select("doc_id", "text", toxicity.F.lit(1).alias("score"), toxicity.F.lit("p").alias("found"))
+    assert toxicity.score(named, model).count() == len(rows)
+    kept = toxicity.keep_clean(named, model)
+    assert kept.columns == named.columns and kept.count() == toxicity.score(named, model).where("predicted = 0").count()
+    assert toxicity.score(frame.limit(0), model).count() == 0
+    empty = toxicity.fit(frame.limit(0), labels)
+    assert [r["predicted"] for r in toxicity.score(frame.limit(2), empty).collect()] == [0, 0]
 
 
 def test_language_model(spark, corpus):
