@@ -2,21 +2,24 @@
 
 Texts are cut at white space, where no token crosses, and every distinct piece is encoded once per worker
 (a memo of bounded size). A piece without white space can be arbitrarily long; its pre-tokens above a limit
-are halved down to leaves, the leaves are encoded together, and neighbours are joined bottom-up: a window
-around the cut is encoded again and grown until it shares a token with both sides. A sequence of tokens in
-which every adjacent pair is the encoding of its own text is the encoding of the whole, so the join is exact.
+are halved down to leaves, the leaves are encoded, and neighbours are joined bottom-up: a window around the cut
+is encoded again and grown until it shares a token with both sides. A sequence of tokens in which every adjacent
+pair is the encoding of its own text is the encoding of the whole, so the join is exact. In texts above a size
+the leaves are rows, which Spark deals to tasks, and the joins are rounds of grouped rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,11 @@ WINDOW = 32
 MEMO = 300_000
 #: Bytes of a text above which its parts are encoded by different tasks.
 SPLIT_BYTES = 1 << 22
+#: Characters of a leaf row of such a text, neighbours that one round joins, and rounds: enough for 2 GB, the longest text that Spark holds.
+LEAF_ROW = 1 << 17
+FAN = 16
+ROUNDS = 4
+_SPACE = re.compile(rb"[ \t\n\v\f\r]")
 
 
 def public_path(name: str) -> str:
@@ -65,45 +73,87 @@ class TreeEncoder:
         whole = lib.normalizer.normalize_str(text) if lib.normalizer else text
         out: list[int] = []
         for part, _ in lib.pre_tokenizer.pre_tokenize_str(whole) if lib.pre_tokenizer else [(whole, None)]:
-            out += [t[0] for t in (self.tree(part) if len(part) > LONG_PIECE else self._tokens(part))]
+            out += (self.tree(part) if len(part) > LONG_PIECE else self._tokens(part))[0].tolist()
         return out
 
-    def _tokens(self, part: str, base: int = 0) -> list[tuple[int, int, int]]:
-        """(id, start, end) in characters of the pre-token."""
-        out, at = [], base
-        for t in self.library.model.tokenize(part):
-            size = len(t.value) - (len("</w>") if t.value.endswith("</w>") and self.library.model.end_of_word_suffix else 0)
-            out.append((t.id, at, at + size))
-            at += size
-        return out
+    def _tokens(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends in characters) of a pre-token."""
+        found = self.library.model.tokenize(part)
+        mark = "</w>" if self.library.model.end_of_word_suffix else None
+        size = [len(t.value) - (len(mark) if mark and t.value.endswith(mark) else 0) for t in found]
+        return np.array([t.id for t in found], np.uint32), np.cumsum(size, dtype=np.int64)
+
+    def tree(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of a long pre-token: encode halves, then re-encode around the joins."""
+        return self.joined([(x, *self._tokens(x)) for x in (part[a : a + LEAF] for a in range(0, len(part), LEAF))])[1:]
 
-    def tree(self, part: str) -> list[tuple[int, int, int]]:
-        """Tokens of a long pre-token: encode halves, then re-encode around the joins."""
-        level = [(a, min(a + LEAF, len(part))) for a in range(0, len(part), LEAF)]
-        nodes = [(a, b, self._tokens(part[a:b], a)) for a, b in level]
+    def joined(self, nodes: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[str, np.ndarray, np.ndarray]:
+        """(text, ids, ends) of neighbours in one pre-token, joined in pairs."""
         while len(nodes) > 1:
-            nodes = [(x[0], y[1], self._join(part, x, y)) for x, y in zip(nodes[::2], nodes[1::2], strict=False)] + (nodes[-1:] if len(nodes) % 2 else [])
-        return nodes[0][2]
+            nodes = [self._join(x, y) for x, y in zip(nodes[::2], nodes[1::2], strict=False)] + (nodes[-1:] if len(nodes) % 2 else [])
+        return nodes[0]
 
-    def _join(self, part: str, left: tuple, right: tuple) -> list[tuple[int, int, int]]:
-        (a, cut, before), (_, b, after) = left, right
+    def _join(self, left: tuple, right: tuple) -> tuple[str, np.ndarray, np.ndarray]:
+        (before, ids_a, ends_a), (after, ids_b, ends_b) = left, right
+        text, cut, n = before + after, len(before), len(before) + len(after)
+        ends_b = ends_b + cut
         size = WINDOW
         while True:
-            lo, hi = max(a, cut - size), min(b, cut + size)
-            if lo == a and hi == b:
-                return self._tokens(part[a:b], a)
-            window = self._tokens(part[lo:hi], lo)
-            inner = set(window)
+            lo, hi = max(0, cut - size), min(n, cut + size)
+            ids, ends = self._tokens(text[lo:hi])
+            if lo == 0 and hi == n:
+                return text, ids, ends
+            ends = ends + lo
+            at = {t: i for i, t in enumerate(zip(ids.tolist(), [lo, *ends[:-1].tolist()], ends.tolist(), strict=True))}
             # shared tokens that neither encoding ends with at a cut: the last of the left, the first of the right
-            start = next((i for i in range(len(before) - 2, -1, -1) if before[i] in inner and (before[i][1] > lo or lo == a)), None) if lo > a else -1
-            stop = next((i for i in range(1, len(after)) if after[i] in inner and (after[i][2] < hi or hi == b)), None) if hi < b else len(after)
-            if start is not None and stop is not None:
-                i = window.index(before[start]) if start >= 0 else -1
-                j = window.index(after[stop]) if stop < len(after) else len(window)
-                if i < j:
-                    return [*before[: start + 1], *window[i + 1 : j], *after[stop:]]
+            i, keep_a = -1, 0
+            if lo > 0:
+                first = int(np.searchsorted(ends_a, lo, "right"))  # the first token that ends after lo
+                shared = (k for k in range(len(ids_a) - 2, first - 1, -1) if k and ends_a[k - 1] > lo and (int(ids_a[k]), int(ends_a[k - 1]), int(ends_a[k])) in at)
+                k = next(shared, None)
+                i, keep_a = (None, 0) if k is None else (at[int(ids_a[k]), int(ends_a[k - 1]), int(ends_a[k])], k + 1)
+            j, keep_b = len(ids), len(ids_b)
+            if hi < n:
+                last = int(np.searchsorted(ends_b, hi, "left"))  # tokens that end before hi
+                k = next((k for k in range(1, last) if (int(ids_b[k]), int(ends_b[k - 1]), int(ends_b[k])) in at), None)
+                j, keep_b = (None, 0) if k is None else (at[int(ids_b[k]), int(ends_b[k - 1]), int(ends_b[k])], k)
+            if i is not None and j is not None and i < j:
+                return text, np.concatenate([ids_a[:keep_a], ids[i + 1 : j], ids_b[keep_b:]]), np.concatenate([ends_a[:keep_a], ends[i + 1 : j], ends_b[keep_b:]])
             size *= 2
 
+    def units(self, data: bytes, size_of_part: int, size_of_leaf: int) -> Iterator[tuple[int, bytes | None, list[str] | None]]:
+        """(leaf, text at white space, pre-tokens) of a long text, in order; a leaf with a number above 0 goes on with the pre-token before it."""
+        at = 0
+        while at < len(data):
+            least = min(len(data), at + size_of_part)
+            found = _SPACE.search(data, least)
+            part = data[at : found.start() if found else len(data)]
+            at += len(part)
+            if at - least <= size_of_leaf:
+                yield 0, part, None
+                continue
+            head = part.rsplit(None, 1)
+            piece = head[-1].decode()
+            if len(head) > 1:
+                yield 0, head[0], None
+            if any(s in piece for s in self.special):
+                yield 0, head[-1], None
+                continue
+            lib, short, size = self.library, [], 0
+            whole = lib.normalizer.normalize_str(piece) if lib.normalizer else piece
+            for word, _ in lib.pre_tokenizer.pre_tokenize_str(whole) if lib.pre_tokenizer else [(whole, None)]:
+                if short and size + len(word) > size_of_leaf:
+                    yield 0, None, short
+                    short, size = [], 0
+                if len(word) <= size_of_leaf:
+                    short.append(word)
+                    size += len(word)
+                    continue
+                for k, a in enumerate(range(0, len(word), size_of_leaf)):
+                    yield k, None, [word[a : a + size_of_leaf]]
+            if short:
+                yield 0, None, short
+
     # -- whole texts -------------------------------------------------------------------------
 
     def learn(self, pieces: set[bytes]) -> None:
@@ -166,38 +216,65 @@ def _split(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _parts(rows: DataFrame, path: str) -> DataFrame:
-    """Long texts: parts in rows of their own, encoded wherever Spark puts them, then joined by number."""
+    """Long texts: parts and leaves in rows of their own, encoded wherever Spark puts them; leaves are joined in rounds, then parts by number."""
 
     def cut(batches: Iterator[pa.RecordBatch]):
+        enc = encoder(path)
+        names = ["row", "doc_id", "k", "leaf", "part", "words"]
         for block in blocks(batches):
             raw, offsets = utf8(block.column("text"))
             for row, doc, a, b in zip(block.column("row").to_pylist(), block.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                data, at, k = raw[a:b].tobytes(), 0, 0
-                while at < len(data):
-                    end = min(len(data), at + SPLIT_BYTES // 4)
-                    while end < len(data) and data[end] not in b" \t\n\v\f\r":
-                        end += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc], pa.int64()), pa.array([k], pa.int32()), pa.array([data[at:end]], pa.binary())], names=["row", "doc_id", "k", "part"])
-                    at, k = end, k + 1
+                k = -1
+                for leaf, part, words in enc.units(raw[a:b].tobytes(), SPLIT_BYTES // 4, LEAF_ROW):
+                    k += leaf == 0
+                    columns = [([row], pa.int64()), ([doc], pa.int64()), ([k], pa.int32()), ([leaf], pa.int32()), ([part], pa.binary()), ([words], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], names=names)
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = [enc.batch([p])[0] for p in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("k"), pa.array(ids, pa.binary())], names=["row", "doc_id", "k", "ids"])
+            out: list[tuple] = []
+            for part, words in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if words is None:
+                    out.append(("", enc.batch([part])[0], b""))
+                elif len(words) == 1:
+                    ids, ends = enc.tree(words[0])
+                    out.append((words[0], ids.tobytes(), ends.tobytes()))
+                else:
+                    out.append(("", b"".join((enc.tree(w) if len(w) > LONG_PIECE else enc._tokens(w))[0].tobytes() for w in words), b""))
+            text, ids, ends = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(text, pa.string()), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=node.replace(",", "").split()[::2])
+        enc.memo = {}
+        release()
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.sort_values("leaf").head(1).assign(leaf=frame["leaf"].min() // FAN)
+        if len(frame) > 1:
+            nodes = [(t, np.frombuffer(i, np.uint32), np.frombuffer(e, np.int64)) for _, t, i, e in frame[["leaf", "text", "ids", "ends"]].sort_values("leaf").itertuples(index=False)]
+            text, ids, ends = encoder(path).joined(nodes)
+            first = first.assign(text=[text], ids=[ids.tobytes()], ends=[ends.astype(np.int64).tobytes()])
+        return first
 
-    parts = rows.mapInArrow(cut, "row long, doc_id long, k int, part binary").repartition("row", "k").mapInArrow(run, "row long, doc_id long, k int, ids binary")
+    def glue(batches):
+        for batch in batches:
+            ids = [b"".join(x["ids"] for x in sorted(parts, key=lambda x: x["k"])) for parts in batch.column("all").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    node = "row long, doc_id long, k int, leaf int, text string, ids binary, ends binary"
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as parts are small for Spark's advisory size but long to encode
+    nodes = rows.mapInArrow(cut, "row long, doc_id long, k int, leaf int, part binary, words array<string>").repartition(tasks, "row", "k", "leaf").mapInArrow(run, node)
+    for _ in range(ROUNDS):
+        nodes = nodes.groupBy("row", "k", F.expr(f"leaf div {FAN}")).applyInPandas(lambda _, frame: join(frame), node)
     # the parts of one text only: a text's ids have to fit a row anyway
-    joined = parts.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
-    return joined.select("doc_id", F.expr("unhex(array_join(transform(all, x -> hex(x.ids)), ''))").alias("ids"))
+    return nodes.groupBy("row", "doc_id").agg(F.collect_list(F.struct("k", "ids")).alias("all")).mapInArrow(glue, "doc_id long, ids binary")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every text; null and empty texts have none.
 
-    Texts above SPLIT_BYTES are cut into parts at white space (or nowhere, if they have none), which other
-    tasks encode; the parts of a text are put together again by their number. Repeated rows stay; only
-    doc_id and text are read. path: a tokenizer file that every executor can read.
+    Texts above SPLIT_BYTES are cut into parts at white space, and what has none for long into leaves, which other
+    tasks encode; leaves are joined in rounds and the parts of a text put together again by their number. An
+    unbroken piece with a special token in it stays one part. Repeated rows stay; only doc_id and text are read. path: a tokenizer file that every executor can read.
     """
     short, long = _split(docs, path)
     return short.unionByName(_parts(long, path))

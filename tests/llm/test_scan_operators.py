@@ -172,9 +172,9 @@ def test_bpe_tree_joins_exactly():
     rng = np.random.default_rng(3)
     for size in (3000, 5001, 20000):
         part = "".join(rng.choice(list("etaoinshrdlu"), size))
-        assert [t[0] for t in enc.tree(part)] == [t.id for t in enc.library.model.tokenize(part)]
+        assert enc.tree(part)[0].tolist() == [t.id for t in enc.library.model.tokenize(part)]
     part = "ha" * 4000
-    assert [t[0] for t in enc.tree(part)] == [t.id for t in enc.library.model.tokenize(part)]
+    assert enc.tree(part)[0].tolist() == [t.id for t in enc.library.model.tokenize(part)]
 
 
 def test_bpe_parts_of_long_texts(spark, monkeypatch):
@@ -187,6 +187,30 @@ def test_bpe_parts_of_long_texts(spark, monkeypatch):
     assert got == [library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids] * 2
 
 
+def test_bpe_leaves_of_unbroken_texts_are_rows(spark, monkeypatch):
+    path, lib = bpe.public_path("word_bpe_49k.json"), library("word_bpe_49k.json")
+    for name, value in (("SPLIT_BYTES", 4000), ("LEAF_ROW", 700), ("LONG_PIECE", 600), ("FAN", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = np.random.default_rng(8)
+    letters = "".join(rng.choice(list("etaoinshrdluéß"), 20000))
+    texts = [
+        letters,
+        "some words " * 300 + letters[:9000] + " and more " * 200 + letters[9000:12000],
+        "don't" * 2000,
+        "ha" * 5000,
+        "x" * 700 + "-" * 6000 + "1" * 3000,
+        "日本語" * 1500,
+        "a<|endoftext|>" * 500,
+        " " * 5000,
+        letters[:4001] + "\n",
+    ]
+    rows = spark.createDataFrame([(i % 8, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r["doc_id"], np.frombuffer(r["ids"], np.uint32).tobytes()) for r in bpe.encoded(rows, path).collect())
+    assert got == Counter((i % 8, np.array(lib.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()) for i, t in enumerate(texts))
+    held = [u for t in texts for u in bpe.encoder(path).units(t.encode(), 1000, 700)]
+    assert max(leaf for leaf, _, _ in held) > bpe.FAN**2 and all(len(w) <= 700 for _, _, words in held for w in words or [])
+
+
 def test_packing_pieces_and_places(spark, odd):
     lib, path = library("byte_bpe_50k.json"), bpe.public_path("byte_bpe_50k.json")
     extra = spark.createDataFrame([(30, "a  b   c \n  d\n\n e"), (31, " lead and trail "), (32, "it's <|endoftext|> ok  x")], "doc_id long, text string")
