@@ -342,8 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         gold = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(SAMPLE / count * (1 << 20)))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(gold), "doc_id").select("toxic", "text")  # about SAMPLE ids and labels at most
-    # a sample of bounded size, read three times below
-    rows = materialise(rows.repartition(FILES, "text").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("mark", F.xxhash64("text")))
+    # equal texts are united before they are dealt; a sample of bounded size, read three times below
+    rows = materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("mark", F.xxhash64("text")).repartition(FILES, "mark"))
 
     def counted(batches):
         for block in blocks(batches):
