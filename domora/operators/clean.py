@@ -91,12 +91,10 @@ def funnel(raw: DataFrame) -> DataFrame:
 
 
 def event_id() -> Column:
-    """source:listing id, or group:date:price where the listing has no id."""
+    """source:listing id, or source:group:date:price where the listing has no id; a null source reads as "sample"."""
     own = F.nullif(F.trim("listing_id"), F.lit(""))
-    return F.coalesce(
-        F.when(own.isNotNull(), F.concat_ws(":", F.coalesce("source", F.lit("sample")), own)),
-        F.concat_ws(":", "property_group_id", F.coalesce(F.date_format("listing_date", "yyyy-MM-dd HH:mm:ss"), F.lit("NaT")), F.round("price", 2).cast("decimal(20,2)").cast("string")),
-    )
+    fallback = F.concat_ws(":", "property_group_id", F.coalesce(F.date_format("listing_date", "yyyy-MM-dd HH:mm:ss"), F.lit("NaT")), F.col("price").cast("string"))
+    return F.concat_ws(":", F.coalesce("source", F.lit("sample")), F.coalesce(own, fallback))
 
 
 def without_copies(grouped: DataFrame, order: str = "ingest_key") -> DataFrame:

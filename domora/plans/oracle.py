@@ -27,7 +27,7 @@ _OPTIONAL = " and ".join(f"({c} is null or {c} between {lo} and {hi})" for c, (l
 _GPS = f"coalesce(latitude between {C.LATITUDE_RANGE[0]} and {C.LATITUDE_RANGE[1]} and longitude between {C.LONGITUDE_RANGE[0]} and {C.LONGITUDE_RANGE[1]}, false)"
 _DUCK_ADAPTER = re.sub(r"\{(\w+)\}", r"\1", ADAPTER)
 
-BASE = f"""with recursive adapted as ({_DUCK_ADAPTER}), listings as ({WITH_COPIES}),
+BASE = f"""with recursive adapted as (select * replace (nfc_normalize(location) as location, nfc_normalize(source) as source) from ({_DUCK_ADAPTER})), listings as ({WITH_COPIES}),
 located as (select *, {_TEXT} as loc from listings),
 tagged as (select * exclude (latitude, longitude, updated_at, scraped_at), {_AREA} as location_area,
   case when {_GPS} then latitude end as latitude, case when {_GPS} then longitude end as longitude,
@@ -180,7 +180,7 @@ _WARN = ", ".join(
 #: Valid rows without copies, with their groups.
 _KEPT = (
     f"{IDENTITY}, u as (select min(ingest_key) as ingest_key from valid group by property_type, location, price, area, bedrooms, bathrooms, floors, width, length, alley_width, direction, position, road_type, latitude, longitude, listing_date, observed_at, date_source, source, listing_id, title, description, supplied_furniture), "
-    "e as (select v.*, g.group_key, g.possible_duplicate, case when trim(listing_id) <> '' then source || ':' || trim(listing_id) else group_key || ':' || coalesce(strftime(listing_date, '%Y-%m-%d %H:%M:%S'), 'NaT') || ':' || round(price, 2)::decimal(20, 2)::varchar end as event from valid v join u using (ingest_key) join groups g on g.ingest_key = v.ingest_key), "
+    "e as (select v.*, g.group_key, g.possible_duplicate, coalesce(source, 'sample') || ':' || case when trim(listing_id) <> '' then trim(listing_id) else group_key || ':' || coalesce(strftime(listing_date, '%Y-%m-%d %H:%M:%S'), 'NaT') || ':' || price::varchar end as event from valid v join u using (ingest_key) join groups g on g.ingest_key = v.ingest_key), "
     "kept as (select * from (select *, row_number() over (partition by event order by ingest_key) as nth from e) where nth = 1)"
 )
 

@@ -64,16 +64,19 @@ select concat_ws('-', cast(l.l_orderkey as varchar(20)), cast(l.l_linenumber as
   cast(l.l_orderkey % 2 as double) as supplied_furniture
 from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey join {part} p on p.p_partkey = l.l_partkey join {supplier} s on s.s_suppkey = l.l_suppkey
 """.replace("{decomposed}", unicodedata.normalize("NFD", "Gò Vấp"))
-#: Rows of some orders stand twice, to be found as exact copies.
-WITH_COPIES = "select concat(base_key, '-', cast(copy as varchar(20))) as ingest_key, a.* from (select x.*, c.copy from adapted x cross join (select 0 as copy union all select 1 as copy) c where c.copy = 0 or x.base_key like '%50-1-%') a"
+#: Rows of some orders stand twice, to be found as exact copies, and once more under another source without an id.
+WITH_COPIES = """select concat(base_key, '-', cast(copy as varchar(20))) as ingest_key, a.* exclude (source, listing_id), case when copy = 2 then 'nguồn khác' else source end as source, case when copy < 2 then listing_id end as listing_id
+from (select x.*, c.copy from adapted x cross join (select unnest([0, 1, 2]) as copy) c where c.copy = 0 or x.base_key like '%50-1-%') a"""
 
 
 def adapted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings from lineitem, orders, part and supplier; ingest_key is a total order of the rows."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part", "supplier")}
     base = spark.sql(ADAPTER.replace("varchar(20)", "string"), **tables)
-    copies = F.explode(F.when(F.col("base_key").like("%50-1-%"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    return base.withColumn("copy", copies).withColumn("ingest_key", F.concat_ws("-", "base_key", F.col("copy").cast("string"))).drop("copy", "base_key")
+    copies = F.explode(F.when(F.col("base_key").like("%50-1-%"), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0))))
+    out = base.withColumn("copy", copies).withColumn("ingest_key", F.concat_ws("-", "base_key", F.col("copy").cast("string")))
+    elsewhere = {"source": F.when(F.col("copy") == 2, "nguồn khác").otherwise(F.col("source")), "listing_id": F.when(F.col("copy") < 2, F.col("listing_id"))}
+    return out.withColumns(elsewhere).drop("copy", "base_key")
 
 
 # -- sinks --------------------------------------------------------------------------------
