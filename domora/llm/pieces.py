@@ -314,7 +314,7 @@ class PieceEncoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The library's decode(ids) in UTF-8: the first space goes, the end id is silent, byte pieces are joined."""
-        if self.table.silent[ids[:-1]].any():
+        if self.table.silent[ids[:-1] if len(ids) and ids[-1] == self.table.end else ids].any():
             return self.table.library.decode(ids.tolist()).encode()
         said = b"".join(map(self.table.says.__getitem__, ids.tolist()))
         try:

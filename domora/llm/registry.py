@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domora.llm import bpe, jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, urls
+from domora.llm import alignment, bpe, jaccard, language, mixing, packing, pieces, quality, resampling, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_repetition": quality.op1_repetition,
@@ -16,5 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_cascade": urls.op10_url_cascade,
     "op10_listed_names": urls.op10_listed_names,
+    "op11_piece_rounds": pieces.op11_piece_rounds,
+    "op12_head_tail_resampling": resampling.op12_head_tail_resampling,
+    "op13_token_spans": alignment.op13_token_spans,
 }
-ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle(), "op10_listed_names": urls.oracle_by_name()}
+ORACLE_SQL = {"op1_repetition": quality.oracle(), "op6_jaccard_join": jaccard.oracle(), "op7_pivot_topk": topk.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_url_cascade": urls.oracle(), "op10_listed_names": urls.oracle_by_name(), "op12_head_tail_resampling": resampling.ORACLE}
