@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def number(c: Column) -> Column:
-    """A finite double or null; words, suffixes such as 5d, NaN and infinities are null."""
-    text = F.trim(c.cast("string"))
-    value = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+_TYPED = re.compile(r"(tinyint|smallint|int|bigint|float|double|decimal\(.*\))")
+
+
+def number(c: Column, kind: str = "string") -> Column:
+    """A finite double or null; words, suffixes such as 5d, NaN and infinities are null. kind: the column's type."""
+    if _TYPED.fullmatch(kind):
+        value = c.cast("double")
+    else:
+        text = F.trim(c.cast("string"))
+        value = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    # NaN is above all numbers here
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def relative_difference(a: Column, b: Column) -> Column:

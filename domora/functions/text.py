@@ -30,8 +30,12 @@ def normalised(text: Column) -> Column:
 
 
 def area_of(location: Column) -> Column:
-    """District of an address: merged districts first, then numbered, then named ones, else Unknown."""
-    text = normalised(location)
+    """District of an address."""
+    return area_in(normalised(location))
+
+
+def area_in(text: Column) -> Column:
+    """District of a normalised address: merged districts first, then numbered, then named ones, else Unknown."""
     keywords, merged = C.MERGED_AREA
     out = F.when(F.greatest(*[text.contains(k) for k in keywords]), merged)
     number = F.regexp_extract(text, r"(?U)quận\s+(1[0-2]|[1-8])(?:\D|$)", 1)

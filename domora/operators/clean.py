@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from domora.functions import config as C
 from domora.functions.numeric import number
-from domora.functions.text import area_of, composed
+from domora.functions.text import area_in, composed, normalised
 
 NUMERIC = ["price", "area", *C.OPTIONAL_RANGES, "latitude", "longitude"]
 DATE_FORMAT = "d/M/yyyy H:m"
@@ -19,7 +19,8 @@ def in_scope(df: DataFrame) -> DataFrame:
 
 def coerce(df: DataFrame) -> DataFrame:
     """The numeric columns as finite doubles; absent ones as nulls."""
-    return df.withColumns({c: number(F.col(c)) if c in df.columns else F.lit(None).cast("double") for c in NUMERIC})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: number(F.col(c), kinds[c]) if c in kinds else F.lit(None).cast("double") for c in NUMERIC})
 
 
 def reject_reason() -> Column:
@@ -69,14 +70,23 @@ def with_composed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: composed(F.col(c)) for c in ("location", "source") if c in rows.columns})
 
 
+def with_area(rows: DataFrame) -> DataFrame:
+    """rows with location_area; the address is normalised once, in a projection of its own."""
+    return rows.withColumn("_address", normalised(F.col("location"))).withColumn("location_area", area_in(F.col("_address"))).drop("_address")
+
+
 def tagged(raw: DataFrame) -> DataFrame:
     """All rows with reject_reason, coerced numbers, district and dates, in one pass."""
-    out = with_composed(sourced(coerce(raw))).withColumn("reject_reason", reject_reason())
-    return dates(valid_coordinates(out.withColumn("location_area", area_of(F.col("location")))))
+    return _dressed(coerce(raw).withColumn("reject_reason", reject_reason()))
+
+
+def _dressed(coerced: DataFrame) -> DataFrame:
+    return dates(valid_coordinates(with_area(with_composed(sourced(coerced)))))
 
 
 def valid(raw: DataFrame) -> DataFrame:
-    return tagged(raw).where("reject_reason is null").drop("reject_reason")
+    """The rows of `tagged` without a reason; the others go before their texts are looked at."""
+    return _dressed(coerce(raw).where(reject_reason().isNull()))
 
 
 def funnel(raw: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ def _valid(spark: SparkSession, sf: str) -> DataFrame:
     return clean.valid(adapted_listings(spark, sf))
 
 
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    """The valid rows, written once for queries that read them more than once."""
+    return materialise(_valid(spark, sf))
+
+
 def _between(rows: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
     """Parts of the history by date: train before 1996, then a year each, test from 1998 on."""
     if lo:
@@ -41,7 +46,7 @@ def _validation(rows: DataFrame) -> DataFrame:
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
     """Test rows with the segment baseline's prediction and interval."""
-    rows = _valid(spark, sf)
+    rows = _held(spark, sf)
     test = _between(rows, oracle.CUTS[2], None)
     return metrics.log_intervals(segments.predict_segment(test, _train(rows)), QUANTILE)
 
@@ -68,7 +73,7 @@ def missing_rates(spark, sf):
 
 
 def area_extraction(spark, sf):
-    return clean.with_composed(adapted_listings(spark, sf)).groupBy(area_of(F.col("location")).alias("location_area")).agg(F.count("*").alias("n"))
+    return clean.with_area(clean.with_composed(adapted_listings(spark, sf))).groupBy("location_area").agg(F.count("*").alias("n"))
 
 
 def location_components(spark, sf):
@@ -120,15 +125,15 @@ def identity_pairs(spark, sf):
 
 
 def identity_groups(spark, sf):
-    return identity.resolve(_valid(spark, sf))
+    return identity.resolve(_held(spark, sf))
 
 
 def identity_audit(spark, sf):
-    return identity.audit(_valid(spark, sf))
+    return identity.audit(_held(spark, sf))
 
 
 def event_dedup(spark, sf):
-    return clean.without_copies(identity.grouped(_valid(spark, sf))).select("ingest_key", "property_type", "listing_date", "price")
+    return clean.without_copies(identity.grouped(_held(spark, sf))).select("ingest_key", "property_type", "listing_date", "price")
 
 
 def dedup_funnel(spark, sf):
@@ -137,7 +142,7 @@ def dedup_funnel(spark, sf):
 
 
 def _grouped_rows(spark, sf):
-    rows = _valid(spark, sf)
+    rows = _held(spark, sf)
     return rows.select("ingest_key", "listing_date").join(identity.resolve(rows).select("ingest_key", "group_key"), "ingest_key")
 
 
@@ -167,7 +172,7 @@ def segment_unit_prices(spark, sf):
 
 
 def segment_predictions(spark, sf):
-    rows = _valid(spark, sf)
+    rows = _held(spark, sf)
     return segments.predict_segment(_between(rows, oracle.CUTS[2], None), _train(rows)).select("ingest_key", "price", "prediction")
 
 
@@ -199,7 +204,7 @@ def slice_analysis(spark, sf):
 
 
 def conformal_quantile(spark, sf):
-    rows = _valid(spark, sf)
+    rows = _held(spark, sf)
     calibration = segments.predict_segment(_between(rows, oracle.CUTS[1], oracle.CUTS[2]), _train(rows))
     residual = calibration.select(F.abs(F.log1p("price") - F.log1p("prediction")).alias("residual"))
     found = metrics.conformal_quantile(residual, coverage=C.COVERAGE)
@@ -208,7 +213,7 @@ def conformal_quantile(spark, sf):
 
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Validation rows as queries, dated rows before the end of validation as references."""
-    rows = _valid(spark, sf).where("listing_date is not null").withColumn("property_group_id", F.col("location"))
+    rows = _held(spark, sf).where("listing_date is not null").withColumn("property_group_id", F.col("location"))
     queries = _validation(rows).withColumns({"query_id": F.col("ingest_key"), "as_of": F.col("listing_date")})
     return queries, _train(rows).withColumn("ref_id", F.col("ingest_key"))
 
@@ -227,7 +232,7 @@ def comparable_benchmark(spark, sf):
 
 def _requests(spark, sf) -> DataFrame:
     """All listings as scoring requests, dated by their listing; some dates are missing, some are no dates."""
-    rows = clean.dates(clean.coerce(clean.with_composed(adapted_listings(spark, sf)))).withColumn("location_area", area_of(F.col("location")))
+    rows = clean.with_area(clean.dates(clean.coerce(clean.with_composed(adapted_listings(spark, sf)))))
     day = F.when(F.col("bedrooms") == 3, "2025-02-30").otherwise(F.date_format("listing_date", "yyyy-MM-dd"))
     return rows.withColumns({"query_id": F.col("ingest_key"), "as_of": day})
 
@@ -261,18 +266,14 @@ def refit_rows(spark, sf):
 # -- models: no SQL form -------------------------------------------------------------------
 
 
-def _columns(rows: DataFrame) -> DataFrame:
-    return materialise(rows)
-
-
 def model_selection(spark, sf):
-    rows = _columns(_valid(spark, sf))
+    rows = _held(spark, sf)
     return model.select(_train(rows), _validation(rows), trees=20)[1]
 
 
 def _scores(name: str):
     def run(spark, sf):
-        rows = _columns(_valid(spark, sf))
+        rows = _held(spark, sf)
         fitted = model.fit(name, _between(rows, None, oracle.CUTS[1]), trees=20)
         q = metrics.conformal_quantile(model.residuals(fitted, _between(rows, oracle.CUTS[1], oracle.CUTS[2]))).first()["quantile"]
         return metrics.log_intervals(fitted.predict(_between(rows, oracle.CUTS[2], None), ["ingest_key", "price"]).select("ingest_key", "price", "prediction"), q)
@@ -302,12 +303,12 @@ def training_run(spark, sf):
 
 
 def batch_scoring(spark, sf):
-    rows = _columns(_valid(spark, sf))
+    rows = _held(spark, sf)
     return _scorer(rows)(_open_requests(rows))
 
 
 def contributions(spark, sf):
-    rows = _columns(_valid(spark, sf))
+    rows = _held(spark, sf)
     fitted = model.fit("ridge_linear", _between(rows, None, oracle.CUTS[1]))
     found = model.contributions(fitted, _between(rows, oracle.CUTS[2], None), ["ingest_key"])
     return found.select("ingest_key", F.posexplode("contributions").alias("place", "c")).select("ingest_key", "place", "c.feature", scoring.friendly_name(F.col("c.feature")).alias("label"), "c.contribution")
@@ -322,7 +323,7 @@ def stream_dedup(spark, sf):
 
 
 def stream_scoring(spark, sf):
-    rows = _columns(_valid(spark, sf))
+    rows = _held(spark, sf)
     asked = materialise(_open_requests(rows))
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     requests = spark.readStream.schema(asked.schema).parquet(asked.inputFiles()[0].rsplit("/", 1)[0])
