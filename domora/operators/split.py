@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domora.functions import config as C
+from domora.operators.ranks import with_rank
 
 NAMES = ("train", "validation", "calibration", "test")
 
@@ -26,21 +27,16 @@ def cut_points(n: int, shares: tuple[float, ...] = C.SPLIT_SHARES) -> list[int]:
 def group_splits(rows: DataFrame, group: str = "property_group_id", date: str = "listing_date", shares: tuple[float, ...] = C.SPLIT_SHARES) -> DataFrame:
     """group, latest, split: groups ordered by latest date, then by name; rows without a date are out.
 
-    The rank is the rank inside a day and the groups of earlier days: days are counted and summed up, so that
-    no single partition orders all groups.
+    Groups are dealt out by ranges of that order, and a rank is the place in the range and the groups of earlier
+    ranges, so that no task orders all groups.
     """
     missing = {group, date} - set(rows.columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
     latest = rows.where(F.col(date).isNotNull()).groupBy(group).agg(F.max(date).alias("latest"))
-    days = latest.groupBy("latest").agg(F.count("*").alias("n"))
-    n = days.agg(F.sum("n")).first()[0] or 0
-    cuts = cut_points(n, shares)
-    # one row for each distinct date
-    before = days.select("latest", (F.sum("n").over(Window.orderBy("latest")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("latest").orderBy(group)) - 1
-    ranked = latest.withColumn("within", rank).join(before, "latest").withColumn("rank", F.col("before") + F.col("within"))
-    part = F.when(F.col("rank") < cuts[0], NAMES[0]).when(F.col("rank") < cuts[1], NAMES[1]).when(F.col("rank") < cuts[2], NAMES[2]).otherwise(NAMES[3])
+    ranked = with_rank(latest, [F.asc("latest"), F.asc(group)], "_rank")
+    cuts = cut_points(ranked.count(), shares)
+    part = F.when(F.col("_rank") <= cuts[0], NAMES[0]).when(F.col("_rank") <= cuts[1], NAMES[1]).when(F.col("_rank") <= cuts[2], NAMES[2]).otherwise(NAMES[3])
     return ranked.select(group, "latest", part.alias("split"))
 
 
