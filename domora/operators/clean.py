@@ -108,11 +108,17 @@ def event_id() -> Column:
 
 
 def without_copies(grouped: DataFrame, order: str = "ingest_key") -> DataFrame:
-    """First of equal rows, then first of each listing event; re-posts with another date or price stay."""
+    """First of equal rows, then first of each listing event; re-posts with another date or price stay.
+
+    Rows are told apart by two 64-bit hashes of all their columns, and the first of a hash or event is an aggregate
+    that tasks begin before the shuffle: a row that stands very often makes no large task, and nothing is sorted by all columns.
+    """
     same = [c for c in grouped.columns if c not in (order, "property_group_id", "identity_confidence", "possible_duplicate")]
-    # equal rows fall into one partition by a hash of all columns; one key column keeps the shuffle narrow
-    copies = grouped.withColumn("listing_event_id", event_id()).withColumn("_row", F.xxhash64(*same))
-    first = F.row_number().over(Window.partitionBy("_row", *same).orderBy(order))
-    unique = copies.withColumn("_n", first).where("_n = 1").drop("_n", "_row")
-    event = F.row_number().over(Window.partitionBy("listing_event_id").orderBy(order))
-    return unique.withColumn("_n", event).where("_n = 1").drop("_n")
+    copies = grouped.withColumn("listing_event_id", event_id())
+    hashes = [F.xxhash64(*same).alias("_h"), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in reversed(same)], F.lit(1)).alias("_g")]
+
+    def first(rows: DataFrame, *by) -> DataFrame:
+        whole = F.struct(*rows.columns)
+        return rows.groupBy(*by).agg(F.min_by(whole, F.col(order)).alias("_row")).select("_row.*")
+
+    return first(first(copies, *hashes), F.col("listing_event_id").alias("_event"))

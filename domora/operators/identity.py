@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from domora.functions.geo import METRES, haversine
 from domora.functions.numeric import relative_difference
 from domora.functions.text import normalised, signature, street_of, ward_of
 from domora.operators.graph import components
+from domora.session import materialise
 
 AREA_STEP, REACH = 10, 2
 STRONG_AREA, MEDIUM_AREA, WEAK_AREA, STRONG_METRES = 0.03, 0.05, 0.10, 50
@@ -46,6 +49,123 @@ def strong_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, on & near & _structure() & F.coalesce(_metres() <= STRONG_METRES, F.lit(True))).select(F.col("a.ingest_key").alias("a"), F.col("b.ingest_key").alias("b"))
 
 
+#: Shapes of an address that are compared in one block, and shapes of a band above which blocks take the place of a join.
+TILE, FEW = 1024, 64
+_SHAPE = ["property_type", "loc", "area", *_STRUCTURE]
+
+
+def shapes(rows: DataFrame) -> DataFrame:
+    """Distinct listings of numbered addresses by what strong pairs compare: first (least ingest_key), n, band.
+
+    Listings of one shape are all strong pairs of each other. Areas within reach of a strong pair lie in one band or
+    in neighbouring ones.
+    """
+    found = rows.where("numbered and property_type <> ''").groupBy(*_SHAPE).agg(F.min("ingest_key").alias("first"), F.count("*").alias("n"))
+    step = F.log(F.lit(1 / (1 - STRONG_AREA)))
+    return found.withColumn("band", F.floor(F.log(F.greatest("area", F.lit(1.0))) / step).cast("int"))
+
+
+def _compatible(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Which shapes of two blocks are strong pairs, as a matrix; nulls are NaN and compatible with anything."""
+    col = {k: v[:, None] for k, v in x.items()}
+
+    def relative(c: str) -> np.ndarray:
+        return np.abs(col[c] - y[c]) / np.maximum(np.maximum(np.abs(col[c]), np.abs(y[c])), 1.0)
+
+    ok = relative("area") <= STRONG_AREA
+    for c in ("bedrooms", "bathrooms", "floors"):
+        ok &= ~(np.abs(col[c] - y[c]) > 1)
+    for c in ("width", "length"):
+        ok &= ~(relative(c) > 0.08)
+    lat, lon = np.radians(col["latitude"]), np.radians(col["longitude"])
+    h = np.sin((np.radians(y["latitude"]) - lat) / 2) ** 2 + np.cos(lat) * np.cos(np.radians(y["latitude"])) * np.sin((np.radians(y["longitude"]) - lon) / 2) ** 2
+    return ok & ~(2 * METRES * np.arcsin(np.sqrt(np.clip(h, 0, 1))) > STRONG_METRES)
+
+
+def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect whatever the matrix connects: fewer than rows and columns."""
+    rows_left, columns_left, out = np.ones(len(ok), bool), np.ones(ok.shape[1], bool), []
+    for start in range(len(ok)):
+        if not rows_left[start]:
+            continue
+        rows_left[start] = False
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            fresh = np.flatnonzero(ok[i] & columns_left)
+            columns_left[fresh] = False
+            out += [(i, j) for j in fresh.tolist()]
+            for j in fresh.tolist():
+                more = np.flatnonzero(ok[:, j] & rows_left)
+                rows_left[more] = False
+                out += [(k, j) for k in more.tolist()]
+                queue += more.tolist()
+    return out
+
+
+def _tiles(found: DataFrame, large: DataFrame) -> DataFrame:
+    """first, other, near: tied shapes and listings near a shape, for addresses with a large band. A row has other or near."""
+    address = ["property_type", "loc"]
+    rows = found.join(large.select(*address, "blocks"), address)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("first"), "blocks").cast("int"))
+    held = materialise(rows.groupBy(*address, "band", "salt").agg(F.collect_list(F.struct("first", "n", "area", *_STRUCTURE)).alias("all")))  # about TILE shapes each
+    a = held.select(*address, F.col("band").alias("band_a"), F.col("salt").alias("salt_a"), F.col("all").alias("x"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    met = a.join(held.withColumnRenamed("all", "y"), [*address, "band"]).where("band > band_a or salt >= salt_a").select((F.expr("band = band_a and salt = salt_a")).alias("same"), "x", "y")
+
+    def side(column: pa.ListArray, k: int) -> tuple[pa.Array, np.ndarray, dict[str, np.ndarray]]:
+        rows = column.values[column.offsets[k].as_py() : column.offsets[k + 1].as_py()]
+        return rows.field("first"), rows.field("n").to_numpy(), {c: rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("area", *_STRUCTURE)}
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (first, n, x), (other, m, y) = side(batch.column("x"), k), side(batch.column("y"), k)
+                ok = _compatible(x, y)
+                same = batch.column("same")[k].as_py()
+                if same:
+                    np.fill_diagonal(ok, False)
+                edges = np.array(_forest(ok), np.int64).reshape(-1, 2)
+                near_x, near_y = ok @ m, ok.T @ n
+                i, j = np.flatnonzero(near_x), np.zeros(0, np.int64) if same else np.flatnonzero(near_y)
+                names = pa.chunked_array([first.take(pa.array(edges[:, 0])), first.take(pa.array(i)), other.take(pa.array(j))]).combine_chunks()
+                ties = pa.chunked_array([other.take(pa.array(edges[:, 1])), pa.nulls(len(i) + len(j), other.type)]).combine_chunks()
+                near = pa.array([None] * len(edges) + near_x[i].tolist() + near_y[j].tolist(), pa.int64())
+                yield pa.RecordBatch.from_arrays([names, ties, near], names=["first", "other", "near"])
+
+    kind = found.schema["first"].dataType.simpleString()
+    return met.mapInArrow(run, f"first {kind}, other {kind}, near long")
+
+
+def strong_ties(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges a, b that connect what strong pairs connect, ingest_key and n_strong of each listing with strong pairs).
+
+    Listings become shapes. Where no band of an address has more than FEW of them, shapes meet in a join of bounded
+    fan-out; where one has, blocks of neighbouring bands meet in numpy and give a forest and counts, so that edges
+    stay in proportion to shapes, not to their pairs.
+    """
+    found = materialise(shapes(rows))
+    address = ["property_type", "loc"]
+    bands = found.groupBy(*address, "band").agg(F.count("*").alias("m"))
+    many = bands.groupBy(*address).agg(F.max("m").alias("m"), F.sum("m").alias("all")).where("all > 1")
+    many = materialise(many.withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")))
+    small = found.join(many.where(F.col("m") <= FEW).select(*address), address, "left_semi")
+    a = small.withColumn("near_band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).alias("a")
+    b = small.alias("b")
+    on = (F.col("a.property_type") == F.col("b.property_type")) & (F.col("a.loc") == F.col("b.loc")) & (F.col("a.near_band") == F.col("b.band")) & (F.col("a.first") != F.col("b.first"))
+    strong = (relative_difference(F.col("a.area"), F.col("b.area")) <= STRONG_AREA) & _structure() & F.coalesce(_metres() <= STRONG_METRES, F.lit(True))
+    # both directions, so that a shape's row counts all that is near
+    joined = a.join(b, on & strong).select(F.col("a.first").alias("first"), F.when(F.col("a.first") < F.col("b.first"), F.col("b.first")).alias("other"), F.col("b.n").alias("near"))
+    ties = materialise(joined.unionByName(_tiles(found, many.where(F.col("m") > FEW))))
+    near = ties.groupBy("first").agg(F.coalesce(F.sum("near"), F.lit(0)).alias("near"))
+    counts = found.select("first", (F.col("n") - 1).alias("own")).join(near, "first", "left").select("first", (F.col("own") + F.coalesce("near", F.lit(0))).alias("n_strong")).where("n_strong > 0")
+    on = F.lit(True)
+    for c in _SHAPE:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    members = materialise(rows.where("numbered and property_type <> ''").alias("r").join(found.alias("s"), on).select("r.ingest_key", "s.first"))
+    edges = ties.where("other is not null").select(F.col("first").alias("a"), F.col("other").alias("b")).unionByName(members.where("ingest_key <> first").select(F.col("first").alias("a"), F.col("ingest_key").alias("b")))
+    return edges, members.join(counts, "first").select("ingest_key", "n_strong")
+
+
 def medium_pairs(rows: DataFrame) -> DataFrame:
     """a, b (a < b): same ward, no distance known, streets equal or one missing; strong pairs excluded."""
     spread = rows.where("ward <> '' and property_type <> ''").withColumn("near_bucket", F.explode(F.sequence(F.col("bucket") - REACH, F.col("bucket") + REACH)))
@@ -80,16 +200,23 @@ def key_links(rows: DataFrame) -> DataFrame:
 
 def resolve(listings: DataFrame) -> DataFrame:
     """ingest_key, group_key (first ingest_key of the group), group_size, identity_confidence, possible_duplicate."""
-    rows = prepared(listings)
-    strong = strong_pairs(rows)
-    roots = components(strong.unionByName(key_links(rows)))
-    degree = strong.select(F.explode(F.array("a", "b")).alias("ingest_key")).groupBy("ingest_key").agg(F.count("*").alias("n_strong"))
+    return _resolved(materialise(prepared(listings)))[0]
+
+
+def _resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolve's rows, strong pairs of each listing) of prepared rows."""
+    edges, degree = strong_ties(rows)
+    degree = materialise(degree)
+    roots = components(edges.unionByName(key_links(rows)))
     out = rows.select("ingest_key", "property_type", "area_key", "area").join(roots.withColumnRenamed("node", "ingest_key"), "ingest_key", "left").join(degree, "ingest_key", "left")
     out = out.join(weak_reach(rows).drop("n"), ["property_type", "area_key", "area"], "left").withColumn("group_key", F.coalesce("root", "ingest_key"))
     review = F.coalesce(F.col("reach"), F.lit(1)) - 1 - F.coalesce(F.col("n_strong"), F.lit(0)) > 0
-    out = out.withColumn("group_size", F.count("*").over(Window.partitionBy("group_key"))).withColumn("possible_duplicate", review)
+    out = materialise(out.select("ingest_key", "group_key", review.alias("possible_duplicate")))
+    # a group of any size is counted in parts; only groups of two or more are joined
+    sizes = out.groupBy("group_key").agg(F.count("*").alias("n")).where("n > 1")
+    out = out.join(sizes, "group_key", "left").withColumn("group_size", F.coalesce("n", F.lit(1)).cast("long"))
     level = F.when(F.col("group_size") > 1, "strong").when(F.col("possible_duplicate"), "weak").otherwise("singleton")
-    return out.select("ingest_key", "group_key", F.col("group_size").cast("long").alias("group_size"), level.alias("identity_confidence"), "possible_duplicate")
+    return out.select("ingest_key", "group_key", "group_size", level.alias("identity_confidence"), "possible_duplicate"), degree
 
 
 def property_signature(df: DataFrame) -> Column:
@@ -106,14 +233,14 @@ def grouped(listings: DataFrame) -> DataFrame:
 
 
 def audit(listings: DataFrame) -> DataFrame:
-    """Groups, their sizes and pairs by level; weak pairs are counted from areas, without listing them."""
-    rows = prepared(listings)
-    groups = resolve(listings)
+    """Groups, their sizes and pairs by level; strong and weak pairs are counted, without listing them."""
+    rows = materialise(prepared(listings))
+    groups, degree = _resolved(rows)
     sizes = groups.groupBy("group_key").agg(F.count("*").alias("n"))
-    a = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi_listing_groups"), F.max("n").alias("largest_group"))
-    strong, keys, medium = (df.agg(F.count("*").alias(n)) for df, n in ((strong_pairs(rows), "strong_pairs"), (key_links(rows), "key_links"), (medium_pairs(rows), "medium_pairs")))
+    out = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi_listing_groups"), F.max("n").alias("largest_group"))
+    strong = degree.agg(F.coalesce(F.sum("n_strong") / 2, F.lit(0)).cast("long").alias("strong_pairs"))
+    keys, medium = (df.agg(F.count("*").alias(n)) for df, n in ((key_links(rows), "key_links"), (medium_pairs(rows), "medium_pairs")))
     within = weak_reach(rows).agg(F.sum(F.col("n") * (F.col("reach") - 1) / 2).cast("long").alias("pairs_in_reach"))
-    out = a
     for one in (strong, keys, medium, within):
         out = out.crossJoin(F.broadcast(one))  # one row each
     return out.select("groups", "multi_listing_groups", "largest_group", "strong_pairs", "key_links", "medium_pairs", (F.col("pairs_in_reach") - F.col("strong_pairs") - F.col("medium_pairs")).alias("weak_pairs"))
