@@ -328,7 +328,7 @@ def stream_scoring(spark, sf):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     requests = spark.readStream.schema(asked.schema).parquet(asked.inputFiles()[0].rsplit("/", 1)[0])
     jobs.score_stream(requests, _scorer(rows), f"{base}/out", f"{base}/log").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return jobs.read_batches(spark, f"{base}/out")
 
 
 QUERIES = {

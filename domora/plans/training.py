@@ -12,7 +12,7 @@ from domora.functions import config as C
 from domora.operators import clean, identity, metrics, segments, split
 from domora.operators import model as M
 from domora.session import materialise
-from domora.sources.listings import check_package, require_columns, write_reference, write_report
+from domora.sources.listings import check_package, current_version, publish, require_columns, write_reference, write_report
 
 LEAST_ROWS = 50
 
@@ -79,20 +79,25 @@ def package(trained: Trained) -> str:
     return json.dumps({"target": "total_price", "quantile": trained.quantile, "coverage": C.COVERAGE, "reference_date": trained.model.context.reference_date, "training_ranges": ranges} | found, ensure_ascii=False)
 
 
-def save(trained: Trained, rows: DataFrame, raw: DataFrame, path: str) -> None:
-    """The model, its package, the reference rows and three reports under path: metrics, data_summary, error_analysis."""
+def save(trained: Trained, rows: DataFrame, raw: DataFrame, path: str) -> str:
+    """Publish the model, its package, the reference rows and three reports (metrics, data_summary, error_analysis) as a new version under path; its folder."""
     spark = rows.sparkSession
-    trained.model.save(f"{path}/model")
-    spark.createDataFrame([(package(trained),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/package")
-    write_reference(rows.withColumn("distance_to_cbd_km", F.lit(None).cast("double")) if "distance_to_cbd_km" not in rows.columns else rows, f"{path}/reference")
-    write_report(evaluation(trained), f"{path}/reports/metrics")
-    write_report(data_summary(raw, rows), f"{path}/reports/data_summary")
-    write_report(metrics.slice_metrics(predicted(trained)), f"{path}/reports/error_analysis")
+
+    def write(into: str) -> None:
+        trained.model.save(f"{into}/model")
+        spark.createDataFrame([(package(trained),)], "value string").coalesce(1).write.text(f"{into}/package")
+        write_reference(rows.withColumn("distance_to_cbd_km", F.lit(None).cast("double")) if "distance_to_cbd_km" not in rows.columns else rows, f"{into}/reference")
+        write_report(evaluation(trained), f"{into}/reports/metrics")
+        write_report(data_summary(raw, rows), f"{into}/reports/data_summary")
+        write_report(metrics.slice_metrics(predicted(trained)), f"{into}/reports/error_analysis")
+
+    return publish(spark, path, write)
 
 
 def load(spark: SparkSession, path: str) -> tuple[M.PriceModel, dict]:
-    """The model and the checked package that `save` wrote."""
-    return M.PriceModel.load(spark, f"{path}/model"), check_package(spark.read.text(f"{path}/package").first()[0])
+    """The model and the checked package of the version that `save` published last."""
+    at = current_version(spark, path)
+    return M.PriceModel.load(spark, f"{at}/model"), check_package(spark.read.text(f"{at}/package").first()[0])
 
 
 def data_summary(raw: DataFrame, rows: DataFrame) -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 import unicodedata
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from domora.functions.numeric import round_to
 
@@ -103,10 +107,71 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def finite(c: Column, kind: DataType) -> Column:
+    """c with null for NaN and infinities, wherever they stand inside structs, arrays and values of maps."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.abs(c) < float("inf"), c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: finite(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def strict_json(rows: DataFrame) -> DataFrame:
+    """value: each row as a JSON object that any parser takes; what is no finite number is null."""
+    return rows.select(F.to_json(F.struct(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON object a line; NaN and infinities as null."""
-    cols = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in report.dtypes]
-    report.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    strict_json(report).write.mode("overwrite").text(path)
+
+
+# -- versions --------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def publish(spark: SparkSession, base: str, write: Callable[[str], None]) -> str:
+    """Let write fill a new folder under base, then name it the current one; the folder.
+
+    The name is written beside the manifest and moved into place last, so that whoever loads in between, or after a
+    job that broke off, gets the version before. Old versions stay; remove them once nobody reads them.
+    """
+    version = f"{base}/versions/{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
+    write(version)
+    # manifests are numbered, and the highest counts: a move onto a name that is taken fails instead of losing a version
+    files, manifests = _folder(spark, f"{base}/manifests")
+    files.mkdirs(manifests)
+    number = max((_number(f.getPath().getName()) for f in files.listStatus(manifests)), default=0) + 1
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    draft = at(f"{base}/draft-{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if not files.rename(draft, at(f"{base}/manifests/{number:09d}")):
+        raise RuntimeError(f"another job published version {number} of {base}")
+    return version
+
+
+def _number(name: str) -> int:
+    return int(name) if name.isdigit() else 0
+
+
+def current_version(spark: SparkSession, base: str) -> str:
+    """The folder that was published last, or FileNotFoundError."""
+    files, manifests = _folder(spark, f"{base}/manifests")
+    names = [f.getPath().getName() for f in files.listStatus(manifests)] if files.exists(manifests) else []
+    if not any(map(_number, names)):
+        raise FileNotFoundError(f"nothing is published under {base}")
+    return spark.read.text(f"{base}/manifests/{max(names, key=_number)}").first()[0]
 
 
 SUMMARY_FIELDS = ["target", "quantile", "coverage", "segment_counts", "reference_date"]

@@ -36,10 +36,24 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None):
     return stream.sparkSession.table(name)
 
 
+def put_batch(rows: DataFrame, out: str, number: int) -> None:
+    """Write a micro-batch into the folder of its number, in place of what an earlier try left there."""
+    rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all micro-batches."""
+    return spark.read.parquet(out).drop("batch")
+
+
 def score_stream(requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Score each micro-batch of requests with a static model and append the results as Parquet."""
+    """Score each micro-batch of requests with a static model, as Parquet in a folder for each batch.
+
+    A batch that is replayed after a failure has the same number and requests, and overwrites its folder, so that a
+    request is there once; `read_batches` reads them.
+    """
 
-    def each(batch: DataFrame, _: int) -> None:
-        score(batch).write.mode("append").parquet(out)
+    def each(batch: DataFrame, number: int) -> None:
+        put_batch(score(batch), out, number)
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
