@@ -127,16 +127,17 @@ def test_report_against_baselines(trained):
 
 
 def test_saved_models_predict_alike(spark, trained, rows, raw, tmp_path):
-    training.save(trained, rows, raw, str(tmp_path))
+    at = training.save(trained, rows, raw, str(tmp_path))
+    assert listings.current_version(spark, str(tmp_path)) == at
     loaded, package = training.load(spark, str(tmp_path))
     one, two = (m.predict(trained.parts["test"], ["ingest_key"]).select("ingest_key", "prediction").toPandas().sort_values("ingest_key") for m in (trained.model, loaded))
     assert np.allclose(one["prediction"], two["prediction"]) and loaded.context == trained.model.context and loaded.imputation == trained.model.imputation
     assert package["quantile"] == trained.quantile and ("Nhà riêng", "Quận 1") in package["segments"]
-    assert listings.read_reference(spark, f"{tmp_path}/reference").count() == rows.count()
-    assert spark.read.json(f"{tmp_path}/reports/metrics").count() == 3
-    summary = spark.read.json(f"{tmp_path}/reports/data_summary").first()
+    assert listings.read_reference(spark, f"{at}/reference").count() == rows.count()
+    assert spark.read.json(f"{at}/reports/metrics").count() == 3
+    summary = spark.read.json(f"{at}/reports/data_summary").first()
     assert summary["rows_clean"] == rows.count() and summary["rows_valid"] - summary["rows_clean"] == summary["exact_duplicate_listings"] > 0
-    assert spark.read.json(f"{tmp_path}/reports/error_analysis").where("dimension = 'property_type'").count() > 1
+    assert spark.read.json(f"{at}/reports/error_analysis").where("dimension = 'property_type'").count() > 1
 
 
 def test_constant_model_is_saved_too(spark, trained, tmp_path):
