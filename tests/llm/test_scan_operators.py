@@ -336,3 +336,22 @@ def test_cascade_is_exact(spark, monkeypatch):
     got = universe.where(urls.contains(universe["key"], levels)).count()
     assert got == 3000 // 7 + (3000 % 7 > 3)
     assert urls.build(listed.limit(0), universe) == [] and universe.where(urls.contains(universe["key"], [])).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    sets = [
+        [(1, [97656.25, 1 / 1024]), (2, [97656.25, 2 / 1024]), (3, [97656.25, 3 / 1024]), (4, [97656.25, 5 / 1024])],
+        [(1, [5e6, 1.0]), (2, [1.0, 2.0]), (3, [-5e6, 3.0])],
+        [(1, [1e17, 1.0]), (2, [1e17, 2.0]), (3, [-1e17, 0.0]), (4, [0.0, 1.0]), (5, [])],
+        [(i, (rng.integers(-(2**33), 2**33, 3) / 1024.0).tolist()) for i in range(80)],
+    ]
+    for rows in sets:
+        vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = sorted(tuple(r) for r in topk.top_k(vectors, vectors, 3).collect())
+        whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v}
+        want = []
+        for q, v in whole.items():
+            met = sorted((-max(-topk.LIMIT, min(topk.LIMIT, sum(x * y for x, y in zip(v, w)))), i) for i, w in whole.items() if i != q)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(met[:3])]
+        assert got == sorted(want)
