@@ -8,6 +8,7 @@ need no join: the levels are literals whose size depends on the lists, not on th
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
 
 
 def _may_contain(key: Column, n: int, level: Level) -> Column:
-    held = F.lit(level.words)
+    # one text that the optimizer folds into an array, instead of an expression for each word
+    held = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
     hit = F.lit(True)
     for p in _places(key, n, level.bits):
         word = F.element_at(held, (F.floor(p / 64) + 1).cast("int"))
@@ -122,40 +124,52 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
+def label_counts(*hosts: DataFrame) -> list[int]:
+    """How many labels the hosts of a list have; distinct, most first."""
+    every = reduce(DataFrame.unionByName, [h.select(F.size(F.split("host", r"\.")).alias("n")) for h in hosts])
+    return sorted((r["n"] for r in every.where("n > 0").distinct().collect()), reverse=True)
+
+
+def suffixes(host: Column, counts: list[int]) -> Column:
+    """The host and its parent domains, as far as they have one of the numbers of labels, longest first.
+
+    Only these can be listed, so that a host of thousands of labels costs no more than its length.
+    """
+    none = F.array().cast("array<string>")
+    if not counts:
+        return none
     labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    )
+    fitting = F.filter(F.lit(counts), lambda n: n <= F.size(labels))
+    return F.when(host == "", none).otherwise(F.transform(fitting, lambda n: F.concat_ws(".", F.slice(labels, F.size(labels) - n + 1, n))))
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys host suffix + path prefix of the given lengths, as far as the path has them."""
-    return F.flatten(F.transform(suffixes(host), lambda h: F.filter(F.array(*[F.when(F.length(path) >= n, F.concat(h, F.substring(path, 1, n))) for n in lengths]), lambda k: k.isNotNull()))) if lengths else F.array().cast("array<string>")
+def _keys(host: Column, path: Column, lengths: list[int], counts: list[int]) -> Column:
+    """Keys host suffix + path prefix of the given lengths, as far as host and path have them."""
+    return F.flatten(F.transform(suffixes(host, counts), lambda h: F.filter(F.array(*[F.when(F.length(path) >= n, F.concat(h, F.substring(path, 1, n))) for n in lengths]), lambda k: k.isNotNull()))) if lengths else F.array().cast("array<string>")
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
     rules: host, path, verdict (allow or block); a rule fits its host and all subdomains if the url's path
-    starts with the rule's path; the longest host + path wins, and block wins over allow for one key listed
-    twice. listed: host; without a fitting rule a page on a listed host or below one is blocked, else
+    starts with the rule's path; the longest host + path wins, of equally long ones that with the longer host,
+    and block wins over allow for one key listed twice. listed: host; without a fitting rule a page on a listed host or below one is blocked, else
     allowed. A null url, or one without ://, has empty parts, fits nothing and is allowed. Rows are judged
-    one by one, so repeats stay; other columns are not read.
+    one by one, so repeats stay; other columns are not read. Very long urls, and hosts of any number of labels,
+    are judged like others: only parent domains with as many labels as a listed host are looked up.
     """
-    spark = pages.sparkSession
     rules = rules.where("host is not null and path is not null").select(F.lower("host").alias("host"), "path", "verdict")
-    # the lists' path lengths and sizes are those of the lists, not of the corpus
+    listed = listed.where("host is not null").select(F.lower("host").alias("host"))
+    # path lengths and numbers of labels are those of the lists, not of the corpus
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     host, path = parts(F.col("url").cast("string"))
     urls = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths)).withColumn("hosts", suffixes(F.col("host")))
+    keyed = urls.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths, label_counts(rules))).withColumn("hosts", suffixes(F.col("host"), label_counts(listed)))
     rule_keys = rules.select(F.concat("host", "path").alias("key"), "verdict")
     universe = keyed.select(F.explode("keys").alias("key"))
     every = build(rule_keys, universe)
     blocks = build(rule_keys.where("verdict = 'block'"), universe)
-    bad = build(listed.select(F.lower("host").alias("key")), keyed.select(F.explode("hosts").alias("key")))
+    bad = build(listed.select(F.col("host").alias("key")), keyed.select(F.explode("hosts").alias("key")))
     fitting = F.filter(F.col("keys"), lambda k: contains(k, every))
     longest = F.reduce(fitting, F.lit(None).cast("string"), lambda held, k: F.when(held.isNull() | (F.length(k) > F.length(held)), k).otherwise(held))
     ruled = keyed.withColumn("rule", longest)
@@ -177,8 +191,8 @@ def hosts_by_name(pages: DataFrame, names: list[str]) -> DataFrame:
     """host: all hosts and parent domains of the pages that start with one of the names, whatever their ending."""
     host, _ = parts(F.col("url").cast("string"))
     labels = F.split("host", r"\.")
-    found = pages.select(F.explode(suffixes(host)).alias("host"))
-    return found.where(F.element_at(labels, 1).isin(names) & (F.size(labels) > 1)).distinct()
+    places = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: (i < F.size(labels)) & F.element_at(labels, i).isin(names))
+    return pages.select(host.alias("host")).select(F.explode(F.transform(places, lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))).alias("host")).distinct()
 
 
 def op10_listed_names(spark, sf_dir):

@@ -327,6 +327,33 @@ def test_listed_names_under_any_ending(spark):
     assert [got[i] for i in range(len(urls_of))] == ["block", "block", "block", "allow", "allow", "allow"]
 
 
+def test_urls_of_many_labels_and_repeats(spark):
+    """Hosts of thousands of labels, very long paths and repeated rows; of equally long keys the longer host's wins."""
+    deep = ".".join(f"l{i}" for i in range(3000))
+    asked = [
+        (1, f"http://{deep}.x.net/fr/a"), (2, f"http://{deep}.casino-win.example.com/en/"), (2, f"http://{deep}.casino-win.example.com/en/"), (3, f"http://{deep}/"),
+        (4, "http://x.net/" + "p/" * 200_000), (5, "http://" + "." * 3000 + "com/x"),
+    ]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in asked], "page_id long, url string, rule string, hosts string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"], len(r["path"])) for r in urls.judge(pages, *urls.default_rules(spark)).collect())
+    assert got == [(1, "net/fr/", "block", 5), (2, "example.com/en/", "block", 4), (2, "example.com/en/", "block", 4), (3, None, "allow", 1), (4, None, "allow", 400_001), (5, "com/", "allow", 2)]
+    names = {r[0] for r in urls.hosts_by_name(pages, ["casino-win", "l2998"]).collect()}
+    assert names == {"casino-win.example.com", f"{deep.split('.', 2998)[-1]}.x.net", f"{deep.split('.', 2998)[-1]}.casino-win.example.com", "l2998.l2999"}
+    rules = spark.createDataFrame([("b.com", "/", "block"), ("com", "/a/x/", "allow"), ("com", "/a/", "block"), ("com", "/a/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    one = spark.createDataFrame([(1, "http://b.com/a/"), (2, "http://c.com/a/"), (3, "http://b.com/a/x/")], "page_id long, url string")
+    judged = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(one, rules, spark.createDataFrame([], "host string")).collect()}
+    assert judged == {1: ("b.com/", "block"), 2: ("com/a/", "block"), 3: ("com/a/x/", "allow")}
+
+
+def test_cascade_of_a_long_list(spark):
+    """100,000 listed keys of a universe of 300,000, against arithmetic."""
+    universe = spark.range(300_000).selectExpr("id", "concat('h', id, '.example.org') as key")
+    levels = urls.build(universe.where("id % 3 = 1").select("key"), universe.select("key"))
+    assert sum(x.bits for x in levels) < 3_000_000
+    wrong = universe.where(urls.contains(universe["key"], levels) != (universe["id"] % 3 == 1))
+    assert wrong.count() == 0
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(urls, "BITS_PER_KEY", 2)  # many false positives, many levels
     universe = spark.range(3000).selectExpr("cast(id as string) as key")
