@@ -18,6 +18,10 @@ from domora.operators.features import FeatureContext, feature_frame
 
 NUMBERS = C.NUMERIC_FEATURES + C.FLAG_FEATURES + C.MISSING_FEATURES
 RIDGE_ALPHA = 10.0
+#: Trees of a forest and their depth; MOST_DEPTH, with 300 trees, is a forest that leaves alone limit.
+TREES, DEPTH = 60, 8
+MOST_DEPTH = 30
+LEAST_IN_LEAF = 5
 CANDIDATES = ("naive_median", "ridge_linear", "forest")
 
 
@@ -92,7 +96,7 @@ class PriceModel:
         )
 
 
-def fit(name: str, train: DataFrame, trees: int = 60, depth: int = 8) -> PriceModel:
+def fit(name: str, train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PriceModel:
     """Learn log1p(price) from train; the context and all statistics come from train alone."""
     context = FeatureContext.fit(train)
     frame = feature_frame(train, context, keep=["price"]).withColumn("label", F.log1p("price"))
@@ -107,17 +111,17 @@ def fit(name: str, train: DataFrame, trees: int = 60, depth: int = 8) -> PriceMo
         stats = frame.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
         learner = LinearRegression(featuresCol="vector", labelCol="label", predictionCol="log_prediction", solver="normal", elasticNetParam=0.0, standardization=False, regParam=RIDGE_ALPHA / stats["n"] * (stats["s"] or 1.0))
     elif name == "forest":
-        learner = RandomForestRegressor(featuresCol="vector", labelCol="label", predictionCol="log_prediction", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="0.8", bootstrap=False, seed=42)
+        learner = RandomForestRegressor(featuresCol="vector", labelCol="label", predictionCol="log_prediction", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAST_IN_LEAF, featureSubsetStrategy="0.8", bootstrap=False, seed=42)
     else:
         raise ValueError(f"unknown candidate {name}")
     return PriceModel(name, context, imputation, Pipeline(stages=[index, hot, vector, learner]).fit(ready))
 
 
-def select(train: DataFrame, validation: DataFrame, candidates: tuple[str, ...] = CANDIDATES, trees: int = 60) -> tuple[str, DataFrame]:
+def select(train: DataFrame, validation: DataFrame, candidates: tuple[str, ...] = CANDIDATES, trees: int = TREES, depth: int = DEPTH) -> tuple[str, DataFrame]:
     """The candidate with the least validation error, the first of equals, and all candidates' metrics."""
     table, scores = None, {}
     for i, name in enumerate(candidates):
-        model = fit(name, train, trees)
+        model = fit(name, train, trees, depth)
         one = metrics.regression_metrics(model.predict(validation, ["price"])).withColumns({"candidate": F.lit(name), "place": F.lit(i)})
         scores[name] = one.first()["mae"]
         table = one if table is None else table.unionByName(one)

@@ -34,6 +34,12 @@ def rejections(requests: DataFrame, types: list[str], areas: list[str]) -> DataF
     return dated(requests).withColumn("reasons", F.array_compact(F.array(*checks))).drop("bad_as_of")
 
 
+def rejected(requests: DataFrame, types: list[str], areas: list[str]) -> DataFrame:
+    """query_id, as_of as it was asked and reasons of every request that `score` leaves out."""
+    asked = requests.withColumn("asked_as_of", F.col("as_of").cast("string"))
+    return rejections(asked, types, areas).where(F.size("reasons") > 0).select("query_id", F.col("asked_as_of").alias("as_of"), "reasons")
+
+
 def missing_fields() -> Column:
     """Quality columns that are null, blank or unknown."""
     out = []
@@ -76,7 +82,7 @@ def friendly_name(feature: Column) -> Column:
 
 
 def score(requests: DataFrame, model, quantile: float, references: DataFrame, ranges: dict[str, tuple[float, float]], types: list[str], areas: list[str], n: int = 4) -> DataFrame:
-    """query_id, rounded price and interval, warnings, missing fields, comparables; rejected requests are left out."""
+    """query_id, rounded price and interval, warnings, missing fields, comparables; `rejected` has the requests that are left out."""
     good = rejections(requests, types, areas).where(F.size("reasons") == 0)
     scored = metrics.log_intervals(model.predict(good, ["query_id", "as_of"]), quantile)
     out = scored.withColumn("warnings", warnings(ranges, model.context.reference_date)).withColumn("missing_fields", missing_fields())

@@ -242,6 +242,11 @@ def request_validation(spark, sf):
     return found.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
+def rejected_requests(spark, sf):
+    found = scoring.rejected(_requests(spark, sf), C.RESIDENTIAL_TYPES, oracle.REQUEST_AREAS)
+    return found.select("query_id", F.posexplode("reasons").alias("place", "reason"))
+
+
 def prediction_warnings(spark, sf):
     rows = _predicted(spark, sf).withColumns({"input_completeness_score": features.completeness(), "as_of": F.col("listing_date")})
     found = scoring.warnings({"area": (20.0, 250.0), "bedrooms": (1.0, 8.0)}, CONTEXT.reference_date)
@@ -299,7 +304,7 @@ def _open_requests(rows: DataFrame) -> DataFrame:
 
 def training_run(spark, sf):
     """The whole job from raw listings to the test report of the selected model and both baselines."""
-    return training.run(adapted_listings(spark, sf), candidates=("naive_median", "ridge_linear"))
+    return training.run(adapted_listings(spark, sf), trees=20)
 
 
 def batch_scoring(spark, sf):
@@ -337,7 +342,7 @@ QUERIES = {
         market_scope_filter, date_provenance, gps_validation, quality_funnel, missing_rates, area_extraction, location_components, property_signature, document_flags,
         completeness_flags, time_offset, cbd_distance, feature_frame, identity_pairs, identity_groups, identity_audit, event_dedup, dedup_funnel, temporal_split, split_summary, event_split,
         naive_baseline, segment_medians, segment_unit_prices, segment_predictions, percentiles, comparable_context, training_ranges, regression_metrics, interval_metrics,
-        slice_analysis, conformal_quantile, comparables_topk, comparable_summary, comparable_benchmark, request_validation, prediction_warnings, missing_fields, export_reference,
+        slice_analysis, conformal_quantile, comparables_topk, comparable_summary, comparable_benchmark, request_validation, rejected_requests, prediction_warnings, missing_fields, export_reference,
         refit_rows, model_selection, training_run, batch_scoring, contributions, stream_dedup, stream_scoring,
     )
 } | {"text_flags": flags, "ridge_scores": _scores("ridge_linear"), "forest_scores": _scores("forest")}

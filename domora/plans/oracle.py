@@ -225,6 +225,7 @@ SQL = {
     "comparable_summary": f"{COMPARABLES} select * from summary",
     "comparable_benchmark": f"{COMPARABLES}, su as (select property_type, location_area, median(price / area) as u from train group by all), g as (select median(price) as naive, median(price / area) as u from train), b as (select v.price, g.naive, coalesce(su.u, g.u) * v.area as segment, coalesce(s.median_unit_price * v.area, coalesce(su.u, g.u) * v.area) as comparable from validation v cross join g left join su using (property_type, location_area) left join summary s on s.query_id = v.ingest_key), t as (select count(*) as n, {', '.join(_errors(m) for m in ('comparable', 'naive', 'segment'))} from b) select *, round((naive_mae - comparable_mae) / naive_mae * 100, 2) as improvement_over_naive from t",
     "request_validation": f"{BASE} select array_to_string(list_filter([{', '.join(_REQUEST)}], lambda x: x is not null), ',') as reasons, count(*) as n from tagged group by 1",
+    "rejected_requests": f"{BASE}, r as (select ingest_key as query_id, list_filter([{', '.join(_REQUEST)}], lambda x: x is not null) as l from tagged) select query_id, unnest(range(len(l)))::int as place, unnest(l) as reason from r",
     "prediction_warnings": f"{BASE}, {_INTERVAL} select ingest_key, array_to_string(list_filter([{_WARN}], lambda x: x is not null), '; ') as warnings from scored",
     "missing_fields": f"{BASE} select array_to_string(list_filter([{_FIELDS}], lambda x: x is not null), ',') as fields, count(*) as n from valid group by 1",
     "export_reference": f"{BASE} select ingest_key as property_group_id, property_type, location_area, area, price as price_million, floor(price / area * 10 + 0.500000001) / 10 as unit_price_million_m2, latitude, longitude, round({_CBD}, 2) as distance_to_cbd_km, bedrooms::int as bedrooms, bathrooms::int as bathrooms, floors::int as floors, strftime(listing_date, '%Y-%m-%d') as listing_date, 0 as has_furniture, 0 as car_alley, {_days(repr('1997-01-01') + '::timestamp', 'date_trunc(' + repr('day') + ', listing_date)')} as market_age from valid",

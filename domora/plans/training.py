@@ -37,7 +37,7 @@ def cleaned(raw: DataFrame) -> DataFrame:
     return materialise(clean.without_copies(identity.grouped(rows)))
 
 
-def train(rows: DataFrame, candidates: tuple[str, ...] = M.CANDIDATES, trees: int = 60) -> Trained:
+def train(rows: DataFrame, candidates: tuple[str, ...] = M.CANDIDATES, trees: int = M.TREES, depth: int = M.DEPTH) -> Trained:
     """Split by groups and time, select on validation, fit again on train and validation, then calibrate.
 
     rows: the result of `cleaned`; fewer than LEAST_ROWS raise ValueError.
@@ -46,9 +46,9 @@ def train(rows: DataFrame, candidates: tuple[str, ...] = M.CANDIDATES, trees: in
         raise ValueError(f"fewer than {LEAST_ROWS} rows are left after cleaning")
     whole = materialise(split.with_split(rows, "property_group_id"))
     parts = {name: whole.where(F.col("split") == name) for name in split.NAMES}
-    name, selection = M.select(parts["train"], parts["validation"], candidates, trees)
+    name, selection = M.select(parts["train"], parts["validation"], candidates, trees, depth)
     parts["dev"] = whole.where(F.col("split").isin("train", "validation"))
-    fitted = M.fit(name, parts["dev"], trees)
+    fitted = M.fit(name, parts["dev"], trees, depth)
     q = metrics.conformal_quantile(M.residuals(fitted, parts["calibration"]), coverage=C.COVERAGE).first()["quantile"]
     return Trained(fitted, q, selection, parts)
 
@@ -113,10 +113,10 @@ def data_summary(raw: DataFrame, rows: DataFrame) -> DataFrame:
     return before.crossJoin(F.broadcast(after)).withColumns({"exact_duplicate_listings": gone, "duplicate_listing_percent": F.round(gone / F.greatest("rows_raw", F.lit(1)) * 100, 2)})
 
 
-def run(raw: DataFrame, path: str | None = None, candidates: tuple[str, ...] = M.CANDIDATES, trees: int = 60) -> DataFrame:
+def run(raw: DataFrame, path: str | None = None, candidates: tuple[str, ...] = M.CANDIDATES, trees: int = M.TREES, depth: int = M.DEPTH) -> DataFrame:
     """The whole job: the test report of the model that was selected; with path its files too."""
     rows = cleaned(raw)
-    trained = train(rows, candidates, trees)
+    trained = train(rows, candidates, trees, depth)
     if path:
         save(trained, rows, raw, path)
     return evaluation(trained)

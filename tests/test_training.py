@@ -83,6 +83,42 @@ def test_ridge_is_the_closed_form(rows):
     assert np.allclose(got, want, atol=1e-6), np.abs(got - want).max()
 
 
+def test_forest_leaves_and_predictions(spark, trained, tmp_path):
+    """Leaves hold LEAST_IN_LEAF rows, predictions are means of leaf means and lie within the prices; the same seed gives the same trees."""
+    part, test = trained.parts["train"], trained.parts["test"]
+    fitted = M.fit("forest", part, trees=5, depth=M.MOST_DEPTH)
+    forest = fitted.stages.stages[-1]
+    nodes = [forest._java_obj.trees()[i].rootNode() for i in range(5)]
+    assert max(forest._java_obj.trees()[i].depth() for i in range(5)) > M.DEPTH
+
+    def leaves(node):
+        if node.subtreeDepth() == 0:
+            return [(node.impurityStats().count(), node.prediction())]
+        return leaves(node.leftChild()) + leaves(node.rightChild())
+
+    y = np.log1p(np.array([r[0] for r in part.select("price").collect()], float))
+    for node in nodes:
+        held = leaves(node)
+        assert min(n for n, _ in held) >= M.LEAST_IN_LEAF and sum(n for n, _ in held) == len(y)
+        assert np.isclose(sum(n * p for n, p in held), y.sum())
+    by = lambda m: m.predict(test, ["ingest_key"]).select("ingest_key", "prediction").toPandas().sort_values("ingest_key")["prediction"].to_numpy()
+    got = by(fitted)
+    assert np.expm1(y.min()) - 1e-6 <= got.min() and got.max() <= np.expm1(y.max()) + 1e-6
+    assert np.allclose(got, by(M.fit("forest", part, trees=5, depth=M.MOST_DEPTH)))
+    fitted.save(str(tmp_path))
+    assert np.allclose(got, by(M.PriceModel.load(spark, str(tmp_path))))
+
+
+def test_training_run_weighs_all_candidates(rows):
+    """The forest is among the candidates, and the one with the least error is fitted again."""
+    done = training.train(rows, trees=3, depth=4)
+    errors = {r["candidate"]: r["mae"] for r in done.selection.collect()}
+    assert set(errors) == set(M.CANDIDATES) and done.model.name == min(M.CANDIDATES, key=errors.get)
+    forest = training.train(rows, ("forest",), trees=3, depth=4)
+    report = {r["predictor"]: r for r in training.evaluation(forest).collect()}
+    assert report["forest"]["mae"] > 0 and 0 <= report["forest"]["coverage"] <= 1 and forest.quantile > 0
+
+
 def test_contributions_add_up_to_the_prediction(trained):
     fitted = M.fit("ridge_linear", trained.parts["train"])
     made, _ = _vectors(fitted, trained.parts["test"])
@@ -168,6 +204,17 @@ def test_batch_scoring(trained):
         assert len(r["comparables"] or []) <= 4
 
 
+def test_rejected_requests_have_reasons(trained):
+    """Every request is scored or rejected; reasons come in the order of the checks, as_of as it was asked."""
+    asked = trained.parts["test"].limit(4).withColumns({"query_id": F.col("ingest_key"), "as_of": F.lit("1998-05-01")})
+    odd = asked.limit(1).withColumns({"query_id": F.lit("odd"), "as_of": F.lit("1998-02-30"), "area": F.lit(None).cast("double"), "property_type": F.lit(None).cast("string"), "bedrooms": F.lit(float("nan"))})
+    types, areas = C.RESIDENTIAL_TYPES, [r[0] for r in asked.select("location_area").distinct().collect()]
+    got = {r["query_id"]: r for r in scoring.rejected(asked.unionByName(odd), types, areas).collect()}
+    assert set(got) == {"odd"} and got["odd"]["as_of"] == "1998-02-30"
+    assert got["odd"]["reasons"] == ["unsupported_property_type", "area_out_of_range", "bad_as_of", "bedrooms_out_of_range"]
+    assert scoring.rejected(asked.limit(0), types, areas).count() == 0
+
+
 def test_labels_of_features(spark):
     rows = spark.createDataFrame([("area",), ("property_type=Nhà riêng",), ("other",)], "f string")
     assert [r[0] for r in rows.select(scoring.friendly_name(F.col("f"))).collect()] == ["Diện tích đất (Area)", "Loại hình: Nhà riêng", "other"]
