@@ -49,12 +49,20 @@ RESEED = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """n words a shingle; linked if den * |intersection| >= num * |union|."""
+    """n words a shingle; linked if den * |intersection| >= num * |union|.
+
+    The similarity num / den is from 1/2 to 1: below, parts of sets of very different sizes no longer meet, so
+    that links would be lost; such a rule raises ValueError.
+    """
 
     n: int
     num: int
     den: int = 100
 
+    def __post_init__(self):
+        if self.n < 1 or not self.den <= 2 * self.num <= 2 * self.den:
+            raise ValueError(f"similarity {self.num}/{self.den} of {self.n}-word shingles; it must be from 1/2 to 1")
+
 
 @lru_cache(maxsize=8)
 def bands(num: int, den: int, most: int) -> np.ndarray:
@@ -426,7 +434,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     stays (the first document of its group). Null, empty and wordless texts have no shingles, are linked with
     nothing and stay; texts of fewer than n words are one shingle. Repeated rows are documents each, linked if
     they have words; a null doc_id keeps its row and is the smallest only where all of a group are null.
-    Only doc_id and text are read. An empty table gives an empty one.
+    A very long text is held by one task while its shingles are made. Only doc_id and text are read. An empty table gives an empty one.
     """
     return _groups(keyed(docs), rule, True).drop("key")
 

@@ -108,7 +108,8 @@ def repetition(docs: DataFrame) -> DataFrame:
     """One row per document: counts, shares and the verdict.
 
     A null or empty text has zero counts and fails the base rule; a null doc_id stays null; other columns
-    of docs are not read, so clashing names do no harm; repeated rows are judged one by one.
+    of docs are not read, so clashing names do no harm; repeated rows are judged one by one;
+    a very long text is held by one task; an empty table gives an empty one.
     """
     schema = ", ".join(["doc_id long", *(f"{x} long" for x in NAMES)])
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

@@ -1,15 +1,17 @@
-"""Repeated 100-byte strings by a radix sort of suffixes, limited to the threshold's depth.
+"""Repeated 100-byte strings: suffixes grouped in passes, limited to the threshold's depth.
 
-Only the first 100 bytes of a suffix matter, so passes by ever longer digits end there; a suffix that is alone
+Only the first 100 bytes of a suffix matter, so passes by ever longer keys end there; a suffix that is alone
 in its group leaves after each pass, and the groups that are left at the end are exactly the repeated windows.
+The keys are not leading bytes, and nothing is ordered by them: a row for every byte of the corpus and pass would be
+shuffled. README says so.
 
-* First digit: the window's anchor, the 28-byte string with the least hash in it. Neighbouring windows share
+* First key: the window's anchor, the 28-byte string with the least hash in it. Neighbouring windows share
   an anchor, so one row stands for a run of about 37 suffixes, and equal windows always have equal anchors.
-* Second digit: all bytes that a run covers. Equal runs hold equal windows, so only the first of them goes on;
+* Second key: all bytes that a run covers. Equal runs hold equal windows, so only the first of them goes on;
   the others are covered whole.
-* Last digit: the 100 bytes themselves, for first runs whose anchor stands in several different runs.
+* Last key: the 100 bytes themselves, for first runs whose anchor stands in several different runs.
 
-Anchors that very many runs share (a bounded list from a scan) skip the first digits: their windows are grouped by
+Anchors that very many runs share (a bounded list from a scan) skip the first keys: their windows are grouped by
 their 100 bytes at once, so no anchor collects an unbounded group. Tasks settle repeats inside their own
 block before the shuffle. Groups are told apart by 64-bit hashes.
 """

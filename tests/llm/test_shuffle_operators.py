@@ -222,6 +222,76 @@ def test_pattern_voters_read_the_text(monkeypatch):
     assert (np.sort(cut) == np.sort(plain(long))).all()
 
 
+def brute_toxicity(text, lexicon, model):
+    """The score from strings; lexicon: form -> voter, forms as (kind, ...) below."""
+    raw = (text or "").encode()
+    low = lambda b: b.translate(bytes(toxicity.LOWER))
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    trimmed = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+        for _ in range(3):
+            w = w[:-1] if w[-1:] and w[-1:] in b".,!?;:\"'()" else w
+        trimmed.append(w)
+    forms = lambda w: [("word", w), *(("start", w[:n]) for n in toxicity.BEGINNINGS if len(w) >= n)]
+    plain = [f for w in trimmed for f in forms(low(w))] + [("pair", low(a), low(b)) for a, b in zip(trimmed, trimmed[1:])]
+    hidden = []
+    for w in trimmed:
+        odd = any(c in b"013457@$!*._-~'`^|" for c in w) or re.search(rb"(.)\1\1", low(w), re.S)
+        if odd and sum(c in letters or c > 127 for c in w) >= 2:
+            read = bytes(toxicity._FOLD[c] for c in w if c not in b"*._-~'`^|")
+            read = re.sub(rb"(.)\1\1+", rb"\1", read, flags=re.S)
+            hidden += forms(read) if read else []
+    apart, run = [], []
+    for w in [*trimmed, b""]:
+        if len(w) == 1 and w in letters:
+            run.append(low(w))
+            continue
+        apart += forms(b"".join(run)) if len(run) >= toxicity.SPACED else []
+        run = []
+    times = [0] * model.n_voters
+    for f in [*plain, *hidden, *apart]:
+        if f in lexicon:
+            times[lexicon[f]] += 1
+    n, alpha, upper = len(trimmed), sum(c in letters for c in raw), sum(65 <= c <= 90 for c in raw)
+    marks, exclaims = sum(a in b"!?" and b in b"!?" for a, b in zip(raw, raw[1:])), raw.count(b"!")
+    votes = [t > 0 for t in times] + [any(f in lexicon for f in hidden), any(f in lexicon for f in apart), alpha >= 20 and 10 * upper >= 3 * alpha, marks > 0]
+    votes.append(n >= 20 and 10 * upper < alpha and not exclaims and not marks)
+    kinds, rate = sum(t > 0 for t in times), sum(min(t, 255) for t in times) / max(n, 1)
+    x = [*votes, kinds > 0, kinds > 2, rate > 1 / 200, rate > 1 / 50]
+    return 1 / (1 + math.exp(-(sum(w for w, v in zip(model.weights, x, strict=True) if v) + model.bias)))
+
+
+def test_toxicity_scores_equal_brute_force(spark, corpus):
+    """Whole words, beginnings and pairs, in disguise and spaced out, marks and capitals, over whole texts."""
+    import pyarrow as pa
+
+    def hashed(text, at):
+        raw, offsets = toxicity.utf8(pa.array([text]))
+        return int(toxicity.entries(raw, offsets, len(raw))[0][at])
+
+    forms = {("word", b"idiot"): (hashed("idiot", 0), 0), ("start", b"stup"): (hashed("stupid", 2), 1), ("pair", b"go", b"away"): (hashed("go away", -1), 2), ("word", b"loser"): (hashed("loser", 0), 3)}
+    order = sorted(forms.values())
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=4 + len(toxicity.PATTERNS) + toxicity.DENSITIES)
+    model = toxicity.ToxicityModel(np.array([h for h, _ in order], np.uint64), np.array([v for _, v in order]), 4, weights, -0.5)
+    tokens = ["idiot", "Idiot,", "id1ot", "i.d.i.o.t", "idiooot!", "STUPIDITY", "stup", "s t u p i d", "l o s e r", "go", "away.", "Go away", "l0s3r", "loser?!", "été", "plain", "words", "x", "B", "GREAT", "wow!!", "\n", "...", "''", "a_b", "a" * 12]
+    texts = [" ".join(rng.choice(tokens, rng.integers(1, 40))) for _ in range(400)] + [None, "", " ", "idiot " * 300, "w " * 30, "calm words in a row " * 6]
+    rows = list(enumerate(texts)) + [(1000 + i, r[1]) for i, r in enumerate(corpus[1])]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    want = {i: brute_toxicity(t, {f: v for f, (_, v) in forms.items()}, model) for i, t in rows}
+    wrong = [(i, t) for i, t in rows if not math.isclose(got[i]["score"], want[i], abs_tol=1e-9)]
+    assert len(got) == len(rows) and not wrong, wrong[:3]
+    assert all(r["predicted"] == (want[i] >= 0.5) for i, r in got.items() if abs(want[i] - 0.5) > 1e-9)
+    assert len({round(x, 6) for x in want.values()}) > 50
+
+
+def test_rules_that_would_lose_links_are_refused():
+    for rule in ((3, 30), (0, 90), (3, 101), (3, 49, 100)):
+        with pytest.raises(ValueError, match="similarity"):
+            jaccard.Rule(*rule)
+    assert jaccard.Rule(3, 1, 2).num == 1 and jaccard.Rule(1, 100).den == 100
+
+
 def test_toxicity_of_odd_tables(spark, corpus):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet")
     model = toxicity.fit(docs.withColumn("toxic", toxicity.F.lit(9)).withColumn("mark", toxicity.F.lit("x")), labels)
