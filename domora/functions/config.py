@@ -45,7 +45,7 @@ CATEGORICAL_FEATURES = ["property_type", "location_area", "direction", "position
 FLAG_FEATURES = list(KEYWORDS)
 MISSING_FEATURES = ["gps_missing", "width_missing", "length_missing", "bedrooms_missing", "bathrooms_missing", "floors_missing", "road_type_missing", "alley_width_missing"]
 MODEL_FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES + FLAG_FEATURES + MISSING_FEATURES
-#: Columns whose presence makes an input complete.
+# Columns whose presence makes an input complete.
 QUALITY_COLUMNS = ["bedrooms", "bathrooms", "floors", "width", "length", "alley_width", "direction", "position", "latitude", "longitude"]
 # Split shares and the target coverage of intervals.
 SPLIT_SHARES = (0.60, 0.15, 0.10, 0.15)
