@@ -1,19 +1,20 @@
-"""Repeated 100-byte strings: suffixes grouped in passes, limited to the threshold's depth.
-
-Only the first 100 bytes of a suffix matter, so passes by ever longer keys end there; a suffix that is alone
-in its group leaves after each pass, and the groups that are left at the end are exactly the repeated windows.
-The keys are not leading bytes, and nothing is ordered by them: a row for every byte of the corpus and pass would be
-shuffled. README says so.
-
-* First key: the window's anchor, the 28-byte string with the least hash in it. Neighbouring windows share
-  an anchor, so one row stands for a run of about 37 suffixes, and equal windows always have equal anchors.
-* Second key: all bytes that a run covers. Equal runs hold equal windows, so only the first of them goes on;
-  the others are covered whole.
-* Last key: the 100 bytes themselves, for first runs whose anchor stands in several different runs.
-
-Anchors that very many runs share (a bounded list from a scan) skip the first keys: their windows are grouped by
-their 100 bytes at once, so no anchor collects an unbounded group. Tasks settle repeats inside their own
-block before the shuffle. Groups are told apart by 64-bit hashes.
+"""Repeated 100-byte strings: suffixes ordered by passes over leading bytes, limited to the threshold's depth.
+
+Only the first 100 bytes of a suffix matter. Suffixes are dealt into buckets, and the suffixes of a bucket are ordered by passes of
+eight bytes, the most significant ones first. One that is alone in its group after a pass leaves; the groups that are left
+after 100 bytes are exactly the repeated windows.
+
+* Buckets: a suffix belongs to its anchor, the 28-byte string with the least hash in its first 100 bytes. Neighbouring suffixes
+  share an anchor, so one row stands for a run of about 37 suffixes, and equal windows always have equal anchors. (Buckets of
+  leading bytes would shuffle a row for every byte of the corpus.)
+* Before the passes: runs whose bytes are all equal hold equal windows, so only the first of them goes on; the others are
+  covered whole. A run that is alone in its bucket goes too. Tasks settle repeats inside their own block before the shuffle.
+* Passes: a task takes whole buckets of at most LARGE suffixes and compares bytes, not hashes.
+
+No bucket grows with the corpus in a task's memory. Anchors that very many runs share (a bounded list from a scan) skip the buckets: their
+windows are grouped by a hash of all 100 bytes at once. Buckets of more than LARGE suffixes, whatever their number, take
+the same way after the first shuffle, with aggregates that tasks begin. Anchors, runs and these windows are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from domora.llm.text import BLOCK_BYTES, blocks, mix, powers, prefix, ranges, signed, utf8
+from domora.llm.text import BLOCK_BYTES, blocks, mix, prefix, ranges, signed, utf8
 from domora.session import materialise, table
 
 DEPTH = 100
@@ -35,6 +36,11 @@ ANCHOR = 28
 #: Anchors that are taken apart by windows at once, and how often one must stand in a block to be proposed.
 HOT = 4096
 HOT_IN_BLOCK = 3
+#: Leading bytes of a pass, and the most suffixes of a bucket that a task orders.
+DIGIT = 8
+LARGE = 1 << 20
+#: Bytes of runs in one batch.
+_BODIES = 1 << 26
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -107,11 +113,9 @@ def _block_rows(block: pa.RecordBatch, depth: int, hot: np.ndarray) -> tuple[np.
         row, start, n, anchor, content, sums = runs(part, ends, depth, min(ANCHOR, depth))
         known = np.isin(anchor, hot)
         if known.any():
-            times = n[known]
-            at = np.repeat(start[known] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            run, at = _windows_of(start[known], n[known])
             whole = ranges(sums, at, at + depth)
-            owner = np.repeat(row[known], times)
-            out.append((whole, mix(whole), owner, at, np.ones(len(at), np.int64), ends, base))
+            out.append((whole, mix(whole), row[known][run], at, np.ones(len(at), np.int64), ends, base))
         out.append((anchor[~known], content[~known], row[~known], start[~known], n[~known], ends, base))
     cols = [np.concatenate([x[i] for x in out]) for i in (0, 1)]
     key = np.concatenate([keys[x[2]] for x in out])
@@ -119,6 +123,34 @@ def _block_rows(block: pa.RecordBatch, depth: int, hot: np.ndarray) -> tuple[np.
     return cols[0], cols[1], key, pos, np.concatenate([x[4] for x in out])
 
 
+def ordered(raw: np.ndarray, at: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `at`, group) of the suffixes that share their first depth bytes with another of their bucket, in order.
+
+    A pass orders what is left by the next eight bytes, as one number, inside the groups of the passes before; suffixes alone in
+    their group leave after it.
+    """
+    padded = np.concatenate([raw, np.zeros(DIGIT, np.uint8)])
+    digits = np.ndarray((len(raw) + 1,), ">u8", padded, strides=(1,))
+    left, group = np.arange(len(at)), bucket
+    for done in range(0, depth, DIGIT):
+        if not len(left):
+            break
+        digit = digits[at[left] + done].astype(np.uint64) >> np.uint64(8 * max(0, done + DIGIT - depth))
+        order = np.lexsort((digit, group))
+        left, group, digit = left[order], group[order], digit[order]
+        new = np.ones(len(left) + 1, bool)
+        new[1:-1] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        shared = ~(new[:-1] & new[1:])
+        left, group = left[shared], np.cumsum(new[:-1])[shared]
+    return left, group
+
+
+def _windows_of(starts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of the windows of runs of so many windows."""
+    run = np.repeat(np.arange(len(times)), times)
+    return run, starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """Inside, the shuffle files of an action are deleted at its end; each one must be a whole pass."""
@@ -192,48 +224,60 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         rows.withColumn("first", F.min(F.struct("key", "pos")).over(by_content))
         .withColumn("lo", F.min("content").over(by_core))
         .withColumn("hi", F.max("content").over(by_core))
+        .withColumn("suffixes", F.sum("n").over(by_core))
         .withColumn("is_first", (F.col("first.key") == F.col("key")) & (F.col("first.pos") == F.col("pos")))
         .where("not is_first or lo <> hi")
-        .select("core", "key", "pos", "n", "is_first")
+        .select("core", "key", "pos", "n", "is_first", (F.col("suffixes") > LARGE).alias("is_large"))
     )
     held = materialise(shared_rows)
     equal = held.where("not is_first").select("key", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
+    found = local.unionByName(equal).unionByName(_in_buckets(texts, held.where("is_first and not is_large"), depth))
+    large = held.where("is_first and is_large")
+    return found.unionByName(_in_large_buckets(texts, large, depth)) if large.limit(1).count() else found
+
+
+def _with_runs(texts: DataFrame, runs_: DataFrame) -> DataFrame:
+    return texts.join(runs_.groupBy("key").agg(F.collect_list(F.struct("pos", "n", "core")).alias("runs")), "key")
+
+
+def _runs_of(block: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, pos, n, core) of a block's runs."""
+    lists = block.column("runs")
+    row = np.repeat(np.arange(block.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return row, *(lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+
 
-    # first runs whose anchor has other runs too: their bytes go to the anchor's group
-    wanted = held.where("is_first").groupBy("key").agg(F.collect_list(F.struct("pos", "n", "core")).alias("runs"))
+def _in_buckets(texts: DataFrame, runs_: DataFrame, depth: int) -> DataFrame:
+    """Repeats among the runs of a bucket: their bytes go to the bucket's task, which orders the suffixes."""
 
     def cut(batches):
         for block in blocks(batches):
             raw, offsets = utf8(block.column("text"))
             key = block.column("key").to_numpy(zero_copy_only=False)
-            lists = block.column("runs")
-            each = lists.flatten()
-            row = np.repeat(np.arange(block.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            pos, n, core = (each.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            begin = offsets[row] + pos
-            size = n.astype(np.int64) + depth - 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
-            body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(key[row]), pa.array(pos), body], names=["core", "key", "pos", "body"])
-
-    bodies = texts.join(wanted, "key").mapInArrow(cut, "core long, key long, pos int, body binary")
-
-    def last_digit(batches):
-        """Batches come sorted by core; whole groups are settled, the last one waits for the next batch."""
-
-        def settle(rows: pa.Table):
-            raw, ends = utf8(rows.column("body").combine_chunks())
-            n = np.diff(ends) - depth + 1
-            at = np.repeat(ends[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            sums = prefix(raw)
-            whole = (sums[at + depth] - sums[at]) * powers(len(sums))[1][at]
-            row = np.repeat(np.arange(len(n)), n)
-            key = rows.column("key").to_numpy()[row]
-            pos = rows.column("pos").to_numpy().astype(np.int64)[row] + at - ends[row]
-            later = ~_firsts(mix(whole), key, pos)
-            return _batch(["key", "pos", "n"], *_spans(key[later], pos[later], np.ones(later.sum(), np.int64)))
-
+            row, pos, n, core = _runs_of(block)
+            total = np.cumsum(n + depth - 1)
+            for part in np.split(np.arange(len(n)), np.searchsorted(total, np.arange(_BODIES, total[-1], _BODIES))):
+                if not len(part):
+                    continue
+                size = n[part] + depth - 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                at = _windows_of((offsets[row] + pos)[part], size)[1]
+                body = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(core[part]), pa.array(key[row[part]]), pa.array(pos[part].astype(np.int32)), body], names=["core", "key", "pos", "body"])
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        raw, ends = utf8(rows.column("body").combine_chunks())
+        run, at = _windows_of(ends[:-1], np.diff(ends) - depth + 1)
+        core = rows.column("core").to_numpy()
+        bucket = np.cumsum(np.concatenate([[0], core[1:] != core[:-1]]))
+        left, group = ordered(raw, at, bucket[run], depth)
+        key = rows.column("key").to_numpy()[run[left]]
+        pos = rows.column("pos").to_numpy().astype(np.int64)[run[left]] + at[left] - ends[run[left]]
+        later = ~_firsts(group, key, pos)
+        return _batch(["key", "pos", "n"], *_spans(key[later], pos[later], np.ones(later.sum(), np.int64)))
+
+    def passes(batches):
+        """Batches come sorted by core; whole buckets are settled, the last one waits for the next batch."""
         held, size = [], 0
         for part in blocks(batches, "body"):
             held.append(part)
@@ -250,8 +294,26 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    single = bodies.repartition("core").sortWithinPartitions("core").mapInArrow(last_digit, "key long, pos long, n long")
-    return local.unionByName(equal).unionByName(single)
+    bodies = _with_runs(texts, runs_).mapInArrow(cut, "core long, key long, pos int, body binary")
+    return bodies.repartition("core").sortWithinPartitions("core").mapInArrow(passes, "key long, pos long, n long")
+
+
+def _in_large_buckets(texts: DataFrame, runs_: DataFrame, depth: int) -> DataFrame:
+    """Repeats among the runs of large buckets: a row for each window, grouped by the hash of its bytes."""
+
+    def windows(batches):
+        for block in blocks(batches):
+            raw, offsets = utf8(block.column("text"))
+            sums, key = prefix(raw), block.column("key").to_numpy(zero_copy_only=False)
+            row, pos, n, _ = _runs_of(block)
+            run, at = _windows_of(offsets[row] + pos, n)
+            whole = ranges(sums, at, at + depth)
+            yield _batch(["whole", "key", "pos"], signed(whole), key[row[run]], at - offsets[row[run]])
+
+    each = materialise(_with_runs(texts, runs_).mapInArrow(windows, "whole long, key long, pos long"))
+    place = F.struct("key", "pos")
+    firsts = each.groupBy("whole").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    return each.join(firsts, "whole").where(place != F.col("first")).select("key", "pos", F.lit(1).cast("long").alias("n"))
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, extra: list[str] = ()) -> DataFrame:

@@ -96,13 +96,30 @@ def brute_repeats(rows, depth):
 @pytest.mark.parametrize("depth", [100, 40])
 def test_repeats(corpus, depth, monkeypatch):
     frame, rows = corpus
-    for block in (1 << 20, 300):  # the second cuts texts into segments and makes hot anchors
+    for block, large, bodies in ((1 << 20, 1 << 20, 1 << 26), (300, 1 << 20, 500), (300, 100, 1 << 26)):  # small blocks cut texts into segments and make hot anchors
         monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
+        monkeypatch.setattr(suffixes, "LARGE", large)
+        monkeypatch.setattr(suffixes, "_BODIES", bodies)
         got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.without_repeats(frame, depth).collect()]
         assert Counter(got) == brute_repeats(rows, depth)
     assert suffixes.without_repeats(frame.limit(0), depth).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 8, 13, 100])
+def test_passes_order_suffixes(depth):
+    rng = np.random.default_rng(depth)
+    raw = np.concatenate([rng.choice(np.array([0, 97, 255], np.uint8), 700), np.tile(np.arange(120, dtype=np.uint8), 3)])
+    at = rng.permutation(len(raw) - depth + 1)
+    bucket = np.sort(rng.integers(0, 3, len(at)))
+    left, group = suffixes.ordered(raw, at, bucket, depth)
+    key = [(bucket[i], raw[at[i] : at[i] + depth].tobytes()) for i in range(len(at))]
+    times = Counter(key)
+    got = [key[i] for i in left]
+    assert got == sorted(k for k in key if times[k] > 1)
+    assert [a == b for a, b in zip(group, group[1:])] == [a == b for a, b in zip(got, got[1:])]
+    assert len(suffixes.ordered(raw, at[:0], bucket[:0], depth)[0]) == 0
+
+
 def test_long_text_in_segments():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 101, 9000).astype(np.uint8)
