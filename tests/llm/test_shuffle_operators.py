@@ -352,6 +352,72 @@ def test_language_model_reads_word_order(spark):
     assert got[100]["score"] > got[101]["score"] + 3  # in the order that was learned
 
 
+def one_text(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return mixing.tokens(raw, np.array([0, len(raw)]))
+
+
+def brute_continuations(rows):
+    """{(key, anchor): low halves of the hashes that follow in the first other taught text} of (key, text, taught)."""
+    places = {}
+    for key, text, taught in rows:
+        t = one_text(text)
+        h, ok = mixing.anchors(t)
+        for i in np.flatnonzero(ok):
+            places.setdefault(int(h[i]), {}).setdefault(key, (taught, (t.hashes[i + 1 : i + 1 + mixing.AHEAD] & np.uint64(0xFFFFFFFF)).tolist()))
+    out = {}
+    for h, by_key in places.items():
+        holders = sorted(k for k, (taught, _) in by_key.items() if taught)
+        for key in by_key:
+            source = next((k for k in (holders[:1] + holders[-1:]) if k != key), None)
+            if source is not None:
+                out[key, h] = by_key[source][1]
+    return out
+
+
+def test_continuations_equal_brute_force(spark, corpus):
+    rows = [(n, text or "", n % 3 > 0) for n, (_, text) in enumerate(corpus[1])]
+    found = mixing.continuations(spark.createDataFrame(rows, "key long, text string, taught boolean")).collect()
+    got = {(r["key"], y["anchor"] % 2**64): [z % 2**32 for z in y["ahead"]] for r in found for y in r["lists"]}
+    want = brute_continuations(rows)
+    assert got == want and len(want) > 50
+    # the word that is foretold, text by text: the one after the last anchor, as far as the continuation reaches
+    lists = {r["key"]: r["lists"] for r in found}
+    kind = mixing.pa.list_(mixing.pa.struct([("anchor", mixing.pa.int64()), ("ahead", mixing.pa.list_(mixing.pa.int32()))]))
+    for key, text, _ in rows[:60]:
+        t = one_text(text)
+        word, match = mixing.predicted(t, mixing.pa.array([[y.asDict() for y in lists.get(key, [])]], kind))
+        h, ok = mixing.anchors(t)
+        ahead, hits = [], 0
+        for i in range(len(t.hashes)):
+            told = ahead.pop(0) if ahead else None
+            assert (match[i] > 0) == (told is not None) and (told is None or word[i] == told)
+            if told is not None:
+                assert match[i] == 1 + (hits >= 2) + (hits >= 8)
+            hits = hits + 1 if told is not None and told == int(t.hashes[i]) & 0xFFFFFFFF else 0
+            if ok[i] and (key, int(h[i])) in want:
+                ahead = list(want[key, int(h[i])])
+
+
+def test_spelling_learns_each_word_about_once():
+    texts = [" ".join(f"w{i}" for i in range(40)) + f" rare{k}" for k in range(200)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    t = mixing.tokens(raw, np.cumsum([0, *map(len, texts)]))
+    words, counts = np.unique(t.hashes, return_counts=True)
+    tree = mixing.tree_of(words[counts > 1], counts[counts > 1], 200)
+    taken = Counter(t.hashes[mixing.spelling_words(t, np.arange(200), tree)].tolist())
+    assert all(taken[int(h)] == 1 for h in words[counts == 1]) and 20 <= sum(taken[int(h)] for h in words[counts > 1]) <= 60
+    none = mixing.tree_of(words[:0], counts[:0], 200)
+    assert len(mixing.spelling_words(t, np.arange(200), none)) == (t.hashes != np.uint64(mixing.END)).sum()
+
+
+def test_new_texts_score_above_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = mixing.language_model(docs, ~language.held_out(5, 1)).join(docs, "doc_id").withColumn("held_out", language.held_out(5, 1)).toPandas()
+    new = got[got.held_out & ~got.text.isin(set(got.text[~got.held_out]))]
+    assert len(new) > 150 and new.score.mean() > new.base_score.mean() + 20
+
+
 def test_huffman_is_a_prefix_code():
     code = mixing.huffman(np.arange(256) ** 2)
     assert abs(sum(2.0 ** -n for n in np.diff(code.begin)) - 1) < 1e-9
