@@ -507,3 +507,24 @@ def test_pipeline_stages(spark):
     packed = stages["packing"](spark, cut, SMALL)
     assert ids(packed) == ids(unique) and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
     assert packing.CAPACITY == 2048
+
+
+def test_mixing_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    """Every taught text counts in each pass, and the weights are those of one regression over all bits."""
+    from domora.llm.toxicity import logistic
+
+    docs, held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null"), {}
+    plain = mixing.fitted
+    monkeypatch.setattr(mixing, "fitted", lambda texts, shared: held.update(texts=texts, shared=shared) or held.update(got=plain(texts, shared)) or held["got"])
+    taught = (mixing.F.col("doc_id") % 7 > 0) & (mixing.F.length("text") < 3000)
+    mixing.language_model(docs, taught)
+    assert held["texts"].count() == docs.where(taught & (mixing.F.col("text") != "")).count() > 50
+    tree, spelling, tables = held["shared"].value
+    m = mixing.MixingModel(tree, spelling, tables[: len(mixing.WORD_BITS)], tables[len(mixing.WORD_BITS) :], *held["got"])
+    whole = held["texts"].toArrow().combine_chunks().to_batches()[0]
+    i = mixing._own_inputs(whole, m)[0]
+    gate = np.repeat(i.gate, np.diff(i.begin))
+    best = int(np.bincount(gate, minlength=mixing.GATES).argmax())
+    mine = gate == best
+    want = logistic(i.x[:, mine].T, i.bit[mine].astype(float), 1.0, 30, False)[0]
+    assert np.abs(held["got"][0][best] - want).max() < 0.02
