@@ -195,3 +195,25 @@ def test_queries_return_a_row_for_each_document(spark, name):
 
     got = QUERIES[name](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and "doc_id" in got.columns
+
+
+def test_common_ends_are_marked_and_not_sorted(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from domora.llm import alignment
+    from domora.llm.bpe import public_path
+
+    own, pick = alignment.Aligner(public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")), random.Random(3)
+    units = sorted({(" " + "".join(pick.choice("abétée日本🙂zq") for _ in range(pick.randint(1, 9)))).encode() for _ in range(200)})
+    monkeypatch.setattr(alignment.np, "intersect1d", lambda *a, **k: pytest.fail("ends are sorted"))
+    own.learn(set(units))
+    for u in units:
+        text, k = u.decode(), own.unit[u]
+        if not own.good[k]:
+            continue
+        ids_a, ids_b = own.a.encode(text, add_special_tokens=False).ids, own.b.encode(text[1:])
+        ends = [set(np.cumsum([len(b[i]) for i in ids]).tolist()) for b, ids in ((own.bytes_a, ids_a), (own.bytes_b, ids_b))]
+        assert (own.n_a[k], own.n_b[k]) == (len(ids_a), len(ids_b))
+        assert own.n_groups[k] <= len(ends[0] & ends[1]) and own.groups[k].count(b";") == own.n_groups[k] - 1
